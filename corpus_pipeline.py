@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import packing, quality, simhash
-from logweave.llm.common import cut_lineage, table
+from logweave.llm import packing, quality, simhash, toxicity
+from logweave.llm.common import cut_lineage, held_out, table
 
 #: Neither a forest, nor a network, nor XXH64 fingerprints, nor a plan for packing can be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -21,6 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_by_id(docs, found.filter("kept"))
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(docs, docs.filter(~held_out("doc_id", 3, 1)), table(spark, sf_dir, "labels"))
+    return keep_by_id(docs, found.filter("predicted = 0"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs)
     return keep_by_id(docs, found.filter("doc_id <=> component_id"))
@@ -30,7 +35,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("best-fit packing", best_fit_packing)]
+STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_filter), ("SimHash near-dedup", near_duplicates), ("best-fit packing", best_fit_packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

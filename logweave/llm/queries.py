@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, license_scan, packing, quality, simhash, token_count, topk_search, toxicity
+from . import html_extract, language_id, license_scan, packing, piece_nbest, quality, simhash, token_count, topk_search, toxicity
 from .common import held_out, table
 
 
@@ -16,6 +16,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_nbest.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.search(vectors, vectors.filter("vec_id % 20 = 0"))
