@@ -17,19 +17,26 @@ found first: fewer hypotheses expanded, then longer last pieces. Repeated rows c
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-_SEGMENT = re.compile(r" *[^\W\d_]+| *(?:[\d_]|[^\w ])+| +")
 SPACE = "▁"
 BYTE_LOSS = 10.0  # below the least piece score
 DIGEST = "doc_id long, n_pieces long, best_score double, n_best int, nth_score double, ids_crc32 long, decoded boolean"
 ROWS = "doc_id long, rank int, score double, ids array<long>"
 
 
+def segments_pattern(pieces) -> re.Pattern:
+    """Runs of letters, and of other characters, each with the spaces before it. Numerals such as superscripts, which \\w holds too, aren't letters."""
+    numerals = "".join(re.escape(c) for c in sorted({c for p in pieces for c in p if c.isalnum() and not c.isalpha()}))
+    return re.compile(rf" *[^\W\d_{numerals}]+| *(?:[\d_{numerals}]|[^\w ])+| +")
+
+
+
 class Lattice:
     def __init__(self, name: str = "piece_bpe_32k.model", capacity: int = 400_000):
         import public_tokenizers
@@ -43,14 +50,15 @@ class Lattice:
                 self.bytes[int(piece[3:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 text = piece.replace(SPACE, " ")
-                if len(_SEGMENT.findall(text)) != 1:
-                    raise ValueError(f"{piece!r} crosses a cut of the lattice")
                 self.pieces[text] = (i, model.get_score(i))
                 self.text_of[i] = text.encode()
+        self.pattern = segments_pattern(self.pieces)
+        if crossing := [p for p in self.pieces if len(self.pattern.findall(p)) != 1]:
+            raise ValueError(f"pieces cross the cuts of the lattice: {crossing[:5]}")
         self.text_of |= {i: bytes([b]) for b, i in self.bytes.items()}
         self.longest = max(map(len, self.pieces))
         self.byte_score = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - BYTE_LOSS
-        self.capacity, self.memo = capacity, {}
+        self.capacity, self.memo, self.searched, self.last = capacity, {}, {}, []
 
     def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end, the (start, ids, score) of the edges into it."""
@@ -66,12 +74,23 @@ class Lattice:
                     into[b].append((a, tuple(self.bytes[x] for x in raw), self.byte_score * len(raw)))
         return into
 
+    @staticmethod
+    def forward(into) -> tuple[list[float], list[int]]:
+        """Viterbi: the best score of reaching each place, and the edge by which."""
+        best, by = [0.0], [-1]
+        for edges in into[1:]:
+            top, at = -np.inf, -1
+            for k, (a, _, s) in enumerate(edges):
+                if best[a] + s > top:
+                    top, at = best[a] + s, k
+            best.append(top)
+            by.append(at)
+        return best, by
+
     def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one lattice: (score, ids), best first."""
+        """A-star from the end: the n best segmentations of one lattice, (score, ids), best first."""
         into = self.edges(text)
-        best = [0.0] + [-np.inf] * len(text)
-        for b in range(1, len(text) + 1):
-            best[b] = max(best[a] + s for a, _, s in into[b])
+        best, _ = self.forward(into)
         heap, count, out = [(-best[-1], 0, len(text), 0.0, ())], 1, []
         while heap and len(out) < n:
             _, _, place, suffix, ids = heapq.heappop(heap)
@@ -83,25 +102,52 @@ class Lattice:
                 count += 1
         return out
 
-    def known(self, segment: str, n: int) -> tuple:
-        """(best score, ids as bytes, loss of the second best, all n best)"""
-        found = self.memo.get((segment, n))
+    def known(self, segment: str) -> tuple[float, bytes, float]:
+        """Best score, its ids as bytes, and what the second best loses: it has an edge that isn't on the best path."""
+        found = self.memo.get(segment)
         if found is None:
             if len(self.memo) >= self.capacity:
                 self.memo.clear()
-            all_n = self.search(segment, n)
-            found = self.memo[segment, n] = (all_n[0][0], np.array(all_n[0][1], "<u4").tobytes(), all_n[0][0] - all_n[1][0] if len(all_n) > 1 else np.inf, all_n)
+            found = self.memo[segment] = self._best_and_loss(segment)
+        return found
+
+    def _best_and_loss(self, segment: str) -> tuple[float, bytes, float]:
+        into = self.edges(segment)
+        best, by = self.forward(into)
+        place, ids, path = len(segment), (), set()
+        while place:
+            path.add(place)
+            place, own, _ = into[place][by[place]]
+            ids = own + ids
+        rest = [-np.inf] * len(segment) + [0.0]
+        second = -np.inf
+        for b in range(len(segment), 0, -1):
+            after = rest[b]
+            for k, (a, _, s) in enumerate(into[b]):
+                if after + s > rest[a]:
+                    rest[a] = after + s
+                if (k != by[b] or b not in path) and best[a] + s + after > second:
+                    second = best[a] + s + after
+        return best[-1], array("I", ids).tobytes(), best[-1] - second
+
+    def several(self, segment: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best of one segment."""
+        found = self.searched.get((segment, n))
+        if found is None:
+            if len(self.searched) >= self.capacity // 8:
+                self.searched.clear()
+            found = self.searched[segment, n] = [(s, array("I", ids).tobytes()) for s, ids in self.search(segment, n)]
         return found
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[tuple[int, bytes]]]]:
         """The n best of a whole text: score, and the (segment number, ids) that differ from the best. First comes the best, without any."""
-        segments = [self.known(s, n) for s in _SEGMENT.findall(" " + text)] if text else []
-        self.last = segments
+        texts = self.pattern.findall(" " + text) if text else []
+        segments = self.last = [self.known(s) for s in texts]
         total = float(sum(s[0] for s in segments))
         combined = [(0.0, [])]
         for k in heapq.nsmallest(n - 1, range(len(segments)), key=lambda k: (segments[k][2], k)):
-            own = segments[k][3]
-            options = [(loss + own[0][0] - score, changes + ([(k, np.array(ids, "<u4").tobytes())] if i else [])) for loss, changes in combined for i, (score, ids) in enumerate(own)]
+            own = self.several(texts[k], n)
+            options = [(loss + own[0][0] - score, changes + ([(k, ids)] if i else [])) for loss, changes in combined for i, (score, ids) in enumerate(own)]
             combined = sorted(options, key=lambda x: x[0])[:n]
         return [(total - loss, changes) for loss, changes in combined]
 
