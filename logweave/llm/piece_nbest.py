@@ -56,22 +56,28 @@ class Lattice:
         if crossing := [p for p in self.pieces if len(self.pattern.findall(p)) != 1]:
             raise ValueError(f"pieces cross the cuts of the lattice: {crossing[:5]}")
         self.text_of |= {i: bytes([b]) for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.pieces))
+        #: every start of a piece; those that are pieces have ids and score
+        self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | {p: ((i,), s) for p, (i, s) in self.pieces.items()}
         self.byte_score = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - BYTE_LOSS
         self.capacity, self.memo, self.searched, self.last = capacity, {}, {}, []
 
     def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end, the (start, ids, score) of the edges into it."""
-        into = [[] for _ in range(len(text) + 1)]
-        get, longest, n = self.pieces.get, self.longest, len(text)
-        for a in range(n):
-            for b in range(a + 1, min(n, a + longest) + 1):
-                found = get(text[a:b])
-                if found is not None:
-                    into[b].append((a, (found[0],), found[1]))
-                elif b == a + 1:
-                    raw = text[a].encode("utf-8", "surrogatepass")
-                    into[b].append((a, tuple(self.bytes[x] for x in raw), self.byte_score * len(raw)))
+        size = len(text)
+        into = [[] for _ in range(size + 1)]
+        get = self.starts.get
+        for a in range(size):
+            covered = False
+            for b in range(a + 1, size + 1):
+                found = get(text[a:b], 0)
+                if found:
+                    into[b].append((a, *found))
+                    covered = covered or b == a + 1
+                elif found == 0:  # no piece starts so
+                    break
+            if not covered:
+                raw = text[a].encode("utf-8", "surrogatepass")
+                into[a + 1].append((a, tuple(self.bytes[x] for x in raw), self.byte_score * len(raw)))
         return into
 
     @staticmethod
