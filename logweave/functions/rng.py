@@ -1,0 +1,34 @@
+"""Seeded 64-bit random numbers (splitmix64) in numpy, and ids made from recorded numbers."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+#: Fixed values of the public splitmix64 generator.
+STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def splitmix64(state) -> np.ndarray:
+    """The number that follows each state."""
+    with np.errstate(over="ignore"):
+        z = np.asarray(state, np.uint64) + np.uint64(STEP)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_A)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_B)
+        return z ^ (z >> np.uint64(31))
+
+
+@F.pandas_udf(DecimalType(20, 0))
+def next_random(seed: pd.Series) -> pd.Series:
+    """Unsigned, so beyond BIGINT."""
+    from decimal import Decimal
+
+    return pd.Series([Decimal(int(x)) for x in splitmix64(seed.to_numpy(np.int64).view(np.uint64))])
+
+
+def uuid4_from(high: int, low: int) -> str:
+    """The version 4 layout over two recorded 64-bit numbers."""
+    high = high & ~0xF000 | 0x4000
+    low = low & ~(0b11 << 62) | 0b10 << 62
+    h = f"{high:016x}{low:016x}"
+    return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"

@@ -1,0 +1,103 @@
+"""Deterministic simulation: one row for each seed, with workers that are killed or stalled and a provider that fails, checked against invariants.
+
+Seeds are independent, so Spark deals them to tasks; a seed's run is a few dozen steps of a small state machine.
+"""
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.rng import splitmix64
+from .lease_machine import State, apply
+
+REPORT = "seed long, tier string, status string, kills int, zombies int, stale_rejections int, executions int, violations array<string>"
+TIERS = "ABCD"
+LEASE_MS = 2000
+
+
+class Dice:
+    def __init__(self, seed: int):
+        self.state = seed & 0xFFFFFFFFFFFFFFFF
+
+    def roll(self, sides: int) -> int:
+        value = int(splitmix64([self.state])[0])
+        self.state = value
+        return value % sides
+
+
+def simulate_seed(seed: int, dedupe: bool = True) -> dict:
+    """A run of three effects. Workers claim, write an intent, call the provider under the effect's key, and commit; any step may be
+    cut by a kill, and a stalled worker may come back with an old epoch. dedupe=False breaks the provider's side on purpose."""
+    dice, tier = Dice(seed), TIERS[seed % 4]
+    task, now, log = State(), 0, []
+    executed: dict[str, int] = {}
+    kills = zombies = stale = 0
+    stalled: list[tuple[int, int]] = []
+    done, need, status = 0, 3, "running"
+    for step in range(60):
+        now += 500 + dice.roll(1500)
+        chaos = step < 40
+        if stalled and dice.roll(2):
+            epoch, first = stalled.pop()
+            task, verdict = apply(task, "append", now, epoch, first, 1, 0, LEASE_MS)
+            stale += verdict == "stale epoch"
+            if verdict == "accepted":
+                log.append(("zombie", epoch))
+        task, verdict = apply(task, "claim", now, 0, 0, 0, 0, LEASE_MS)
+        if verdict != "claimed":
+            continue
+        epoch = task.epoch
+        while done < need:
+            key = f"effect#{done + 1}"
+            opened = any(kind == "intent" and k == key for kind, _, *rest in log for k in rest)
+            if not opened:
+                task, verdict = apply(task, "append", now, epoch, task.head + 1, 1, 0, LEASE_MS)
+                log.append(("intent", epoch, key))
+            roll = dice.roll(100)
+            if chaos and roll < 12 and kills < 4:
+                kills += 1
+                break
+            if not (tier == "D" and opened):  # tier D is never sent twice
+                executed[key] = executed.get(key, 0) + (1 if not dedupe or key not in executed else 0)
+            if chaos and 12 <= roll < 24 and kills < 4:
+                kills += 1
+                break
+            if chaos and 24 <= roll < 30 and zombies < 2:
+                zombies += 1
+                stalled.append((epoch, task.head + 1))
+                break
+            task, verdict = apply(task, "append", now, epoch, task.head + 1, 1, 0, LEASE_MS)
+            log.append(("in doubt" if tier == "D" and opened else "commit", epoch, key))
+            done += 1
+        if done == need:
+            task, verdict = apply(task, "finish", now, epoch, 0, 0, 0, LEASE_MS)
+            status = "completed"
+            break
+    violations = []
+    epochs = [x[1] for x in log]
+    if any(b < a for a, b in zip(epochs, epochs[1:])):
+        violations.append("epoch went back")
+    if any(n > 1 for n in executed.values()):
+        violations.append("executed twice")
+    ends = [x[2] for x in log if x[0] in ("commit", "in doubt")]
+    if len(ends) != len(set(ends)):
+        violations.append("committed twice")
+    if status == "completed" and {x[2] for x in log if x[0] == "intent"} != set(ends):
+        violations.append("open effect")
+    if any(x[0] == "commit" and not executed.get(x[2]) for x in log):
+        violations.append("committed without execution")
+    return {"seed": seed, "tier": tier, "status": status, "kills": kills, "zombies": zombies, "stale_rejections": stale, "executions": sum(executed.values()), "violations": violations}
+
+
+def simulate(seeds: DataFrame, dedupe: bool = True) -> DataFrame:
+    """A report for each row of seeds (seed)."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([simulate_seed(int(s), dedupe) for s in b["seed"]], columns=[x.split()[0] for x in REPORT.split(", ")])
+
+    return seeds.select("seed").mapInPandas(run, REPORT)
+
+
+def by_tier(reports: DataFrame) -> DataFrame:
+    return reports.groupBy("tier", "status").agg(F.count("*").alias("runs"), F.sum("kills").alias("kills"), F.sum("zombies").alias("zombies"), F.sum("stale_rejections").alias("stale"), F.sum(F.size("violations")).alias("violations"))
