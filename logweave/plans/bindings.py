@@ -32,7 +32,7 @@ EVLOG = """evlog AS (SELECT user_id AS branch_id,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type AS type,
   event_type || '#' || row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS step_id,
   1 + count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch,
-  epoch_ms(ts) AS at_ms, CAST(round(value * 1000000) AS BIGINT) AS cost_micros, props AS body, event_id FROM events)"""
+  epoch_ns(ts) // 1000000 AS at_ms, CAST(round(value * 1000000) AS BIGINT) AS cost_micros, props AS body, event_id FROM events)"""
 
 
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BRANCHES = """branches AS (SELECT user_id AS branch_id, CASE WHEN user_id > 1 THEN user_id // 2 END AS parent_branch,
-  CASE WHEN user_id > 1 THEN 1 + user_id % 7 END AS fork_seq, epoch_ms(min(ts)) AS created_at_ms FROM events GROUP BY user_id)"""
+  CASE WHEN user_id > 1 THEN 1 + user_id % 7 END AS fork_seq, epoch_ns(min(ts)) // 1000000 AS created_at_ms FROM events GROUP BY user_id)"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
