@@ -12,6 +12,8 @@ a Hamming distance of at most radius are linked, and the classes are the connect
    A shard that is too large for one tree is split by pairs of smaller blocks of its other bits, by the same argument.
    Trees live in the task that owns the shard; nothing of the size of the corpus is broadcast.
 4. Connected components of the links: smallest label, with pointer jumping, checkpointed.
+5. Documents get the class of their fingerprint by (fingerprint, salt): a class has a row for each salt that occurs, so a
+   fingerprint that a third of all documents share is joined by many tasks.
 
 A null or empty text has fingerprint zero, which is linked like any other. A null doc_id is kept and sorts behind all
 others. Repeated rows come back once each. Other columns aren't read.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_batches
 
 TREE_SIZE = 3000
+SALTS = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -216,14 +219,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id of the component, for each row of docs (doc_id, text)."""
-    prints = cut_lineage(fingerprints(docs, shingle))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    prints = cut_lineage(fingerprints(docs, shingle).select("doc_id", "fingerprint", salt))
     number = F.when(F.substring("fingerprint", 1, 1) < "8", F.conv("fingerprint", 16, 10).cast("long")).otherwise(
         F.conv(F.concat(F.conv(F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int") - 8, 10, 16), F.substring("fingerprint", 2, 15)), 16, 10).cast("long") + F.lit(-(1 << 63))
     )
-    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("fp", number))
+    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.collect_set("salt").alias("salts")).withColumn("fp", number))
     comps = components(links(distinct.select("fp"), radius))
     linked = distinct.join(comps, distinct["fp"] == comps["node"])
     tops = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
     linked = linked.join(tops, "comp").select("fingerprint", "component_id")
-    classes = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.explode("salts").alias("salt"), F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(classes, ["fingerprint", "salt"]).select("doc_id", "fingerprint", "component_id")
