@@ -31,6 +31,20 @@ def held_out(key: str, modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def smallest_by_hash(rows: DataFrame, keys: list[str], n: int, total: int) -> list:
+    """The n rows whose keys have the smallest hash, collected: a sample of bounded size. total: about how many rows there are.
+
+    Rows far beyond the n-th are left out before tasks send theirs, so what reaches the driver doesn't grow with the number of tasks.
+    """
+    hashed = F.xxhash64(*keys)
+    first = lambda df: df.orderBy(hashed, *keys).limit(n).collect()
+    if total > 8 * n:
+        found = first(rows.filter(hashed < F.lit(int(-(2**63) + 4 * n / total * 2**64))))
+        if len(found) == n:
+            return found
+    return first(rows)
+
+
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow with lists: make() is called once a task and returns a function from a dict of lists to a dict of lists."""
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches
+from .common import cut_lineage, map_batches, smallest_by_hash
 
 _SYMBOL = b"#*$%&|<>"
 _SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -146,7 +146,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, tree
     """For each row of docs (doc_id, text): the statistics, base_failed, anomaly and kept. labels: doc_id, quality."""
     stats = cut_lineage(document_statistics(docs))
     marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null")
-    sample = stats.filter("not base_failed").orderBy(F.xxhash64("doc_id", "features")).limit(fit_rows).select("features").collect()  # fit_rows at most
+    sample = smallest_by_hash(stats.filter("not base_failed").select("doc_id", "features"), ["doc_id", "features"], fit_rows, stats.count())
     names = [x.split()[0] for x in BASE.split(", ")]
     if not sample:
         return stats.select(*names, F.lit(0.0).alias("anomaly"), F.lit(False).alias("kept"))
