@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, smallest_by_hash
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -117,7 +117,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     candidates = cut_lineage(integers(vectors, scale))
     count = candidates.count()
     n = shards_for(count)
-    sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()  # sample_rows at most
+    sample = smallest_by_hash(candidates, ["vec_id"], sample_rows, count)
     asked = sample_thresholds(integers(queries, scale), sample, k)
     width = F.size("v").alias("width")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")

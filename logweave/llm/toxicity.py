@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, smallest_by_hash
 
 CLASSES = 64  # of characters: none, a to z, and the others by remainder
 LONGEST = 48  # characters that the character network reads at once
@@ -334,8 +334,9 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, fit_toxic: int, fit_clean: int, fit_chars: int, hidden: int, window: int, char_steps: int, word_epochs: int, seed: int) -> Model | None:
     marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     known = docs.filter(F.length("text") <= fit_chars).join(marked, "doc_id").select("doc_id", "text", "toxic")
-    pick = lambda kind, n: [r["text"] for r in known.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("text").collect()]
-    toxic, clean = pick("toxic > 0", fit_toxic), pick("toxic <= 0", fit_clean)
+    n_toxic, n_clean = marked.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    pick = lambda kind, n, total: [r["text"] for r in smallest_by_hash(known.filter(kind), ["doc_id"], n, total)]
+    toxic, clean = pick("toxic > 0", fit_toxic, n_toxic), pick("toxic <= 0", fit_clean, n_clean)
     if not toxic or not clean:
         return None
     model = Model(hidden, window, seed)
