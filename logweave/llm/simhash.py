@@ -11,7 +11,7 @@ a Hamming distance of at most radius are linked, and the classes are the connect
    one of its component in the shard, so a shard of n fingerprints gives less than n links.
    A shard that is too large for one tree is split by pairs of smaller blocks of its other bits, by the same argument.
    Trees live in the task that owns the shard; nothing of the size of the corpus is broadcast.
-4. Connected components of the links: smallest label, with pointer jumping, checkpointed.
+4. Connected components of the links: hooking to the smallest neighbour and contracting, checkpointed.
 5. Documents get the class of their fingerprint by (fingerprint, salt): a class has a row for each salt that occurs, so a
    fingerprint that a third of all documents share is joined by many tasks.
 
@@ -203,18 +203,21 @@ def _record(out: dict, schema):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp for every node of edges (a, b); comp is the same in a component. Rounds: about the logarithm of the longest path."""
-    edges = cut_lineage(edges)
-    both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("comp").alias("top"))
-        new = cut_lineage(lower.join(up, "low", "left").select("node", F.least("low", F.coalesce("top", "low")).alias("comp"), (F.least("low", F.coalesce("top", "low")) != F.col("comp")).alias("moved")))
-        if not new.filter("moved").limit(1).count():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+    """node, comp for every node of edges (a, b); comp is the smallest node of its component.
+
+    Each round hooks every node to its smallest neighbour, if that is smaller, follows one more hook, and contracts the edges. What
+    is left shrinks by a factor, so the rounds are about the logarithm of the nodes, whatever the length of the paths.
+    """
+    edges = cut_lineage(edges.select("a", "b"))
+    labels = edges.select("a").union(edges.select("b")).distinct().toDF("node").withColumn("comp", F.col("node"))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a")).toDF("node", "other")
+        hooks = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("up"))
+        hooks = cut_lineage(hooks.join(hooks.toDF("up", "top"), "up").select("node", "top"))
+        labels = cut_lineage(labels.join(hooks.toDF("comp", "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+        contracted = edges.join(hooks.toDF("a", "x"), "a").join(hooks.toDF("b", "y"), "b").filter("x <> y")
+        edges = cut_lineage(contracted.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
