@@ -9,7 +9,7 @@ smallest hash, of at most fit_chars characters each (longer ones are only scored
 words' odds of standing in toxic texts; then the word network learns from the windows that rank highest in each text
 (a toxic text has a toxic window somewhere, a clean one has none); last, the highest windows are calibrated.
 
-Null and empty texts, and texts without a letter, have no windows and get the score of an empty window. With no labelled rows
+Null and empty texts, and texts without a letter, have no words and get score 0. With no labelled rows
 of both kinds every score is 0. A doc_id with several labels counts as toxic if one of them is 1. Repeated rows come back once
 each; other columns aren't read.
 """
@@ -208,7 +208,7 @@ class Model:
         return at[self.windows(len(at))[:, None] + np.arange(self.window)]
 
     def logits(self, texts: list[str | None], batch: int = 4096) -> np.ndarray:
-        """The highest window's logit of each text."""
+        """The highest window's logit of each text; of a text without words, minus infinity."""
         words, at, bounds = split_words(texts)
         table = self.table(self.word_vectors(words), word_buckets(words)) if words else np.zeros((1, self.shift.size), np.float32)
         pad = len(table) - 1
@@ -223,6 +223,7 @@ class Model:
                 for j in range(0, len(ids), batch):
                     np.maximum.at(out, own[j : j + batch], self.words.forward(table, ids[j : j + batch])[0])
                 todo, owners, size = [], [], 0
+        out[np.diff(bounds) == 0] = -np.inf
         return out
 
     def scores(self, texts: list[str | None], batch_chars: int = 6_000_000) -> list[float]:
@@ -231,7 +232,9 @@ class Model:
             part.append(t)
             size += len(t or "")
             if size >= batch_chars or i == len(texts) - 1:
-                out += (1 / (1 + np.exp(-np.clip(self.slope * self.logits(part).astype(float) + self.level, -50, 50)))).tolist()
+                logits = self.logits(part).astype(float)
+                known = np.isfinite(logits)
+                out += np.where(known, 1 / (1 + np.exp(-np.clip(self.slope * np.where(known, logits, 0) + self.level, -50, 50))), 0.0).tolist()
                 part, size = [], 0
         return out
 
@@ -320,6 +323,9 @@ class Model:
 
     def _calibrate(self, logit, toxic):
         """Logistic regression on the highest windows, by Newton's method, after scaling; with a small penalty on the slope."""
+        logit, toxic = logit[np.isfinite(logit)], toxic[np.isfinite(logit)]
+        if not len(logit):
+            return
         mean, spread = logit.mean(), max(logit.std(), 1e-6)
         x = np.stack([(logit - mean) / spread, np.ones(len(logit))], 1)
         w = np.zeros(2)
