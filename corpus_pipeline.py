@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import packing, quality, simhash, toxicity
+from logweave.llm import near_copies, packing, quality, toxicity
 from logweave.llm.common import cut_lineage, held_out, table
 
 #: Neither a forest, nor a network, nor XXH64 fingerprints, nor a plan for packing can be written in SQL; tests compare with brute force.
@@ -16,6 +16,16 @@ def keep_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs with a unique row_key; checkpointed, so that the keys stay what they are."""
+    return cut_lineage(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
+def keep_rows(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of keyed whose row_key is in kept, without their keys."""
+    return keyed.join(kept.select("row_key"), "row_key", "left_semi").drop("row_key")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
     return keep_by_id(docs, found.filter("kept"))
@@ -27,8 +37,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    return keep_by_id(docs, found.filter("doc_id <=> component_id"))
+    keyed = with_row_keys(docs)
+    return keep_rows(keyed, near_copies.first_of_copies(keyed))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

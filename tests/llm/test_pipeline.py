@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from logweave.llm import quality, simhash
 from logweave.llm.common import table
@@ -24,3 +26,36 @@ def test_ids_are_kept_once_and_null_ids_meet(spark):
     docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (1, "d")], "doc_id long, text string")
     ids = spark.createDataFrame([(1,), (None,), (1,)], "doc_id long")
     assert sorted(r["text"] for r in corpus_pipeline.keep_by_id(docs, ids).collect()) == ["a", "b", "d"]
+
+
+def brute_groups(texts):
+    """Components of all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    top = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                x, y = sorted((top[i], top[j]))
+                top = [x if t == y else t for t in top]
+    return top
+
+
+def test_near_copies_equal_all_pairs_of_shingle_sets(spark):
+    r = random.Random(3)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for k in range(12):
+        words = [f"w{r.randrange(40 if k % 2 else 4000)}" for _ in range(60 + 10 * k)]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            for at in r.sample(range(len(words)), 1 + k % 3):  # a chain of copies, each of the one before it
+                words[at] = f"x{r.randrange(10**6)}"
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts += [f"{passage} {' '.join(f'q{r.randrange(10**6)}' for _ in range(n))}" for n in range(4, 30)]
+    top = brute_groups(texts)
+    assert 30 < len(set(top)) < len(texts) - 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(top))
