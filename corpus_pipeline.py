@@ -27,13 +27,15 @@ def keep_rows(keyed: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return keep_by_id(docs, found.filter("kept"))
+    keyed = with_row_keys(docs)
+    found = quality.quality_rules(keyed, table(spark, sf_dir, "labels"), key="row_key")
+    return keep_rows(keyed, found.filter("kept"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = toxicity.score_toxicity(docs, docs.filter(~held_out("doc_id", 3, 1)), table(spark, sf_dir, "labels"))
-    return keep_by_id(docs, found.filter("predicted = 0"))
+    keyed = with_row_keys(docs)
+    found = toxicity.score_toxicity(keyed, keyed.filter(~held_out("doc_id", 3, 1)), table(spark, sf_dir, "labels"), key="row_key")
+    return keep_rows(keyed, found.filter("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,17 +65,23 @@ def statistics(text: str | None) -> tuple:
     return n, chars, symbols, duplicates, repeated, failed, [float(x) for x in features]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
+def with_key(schema: str, key: str | None) -> str:
+    return schema + (f", {key} long" if key else "")
+
+
+def document_statistics(docs: DataFrame, key: str | None = None) -> DataFrame:
+    own = [key] if key else []
+
     def make():
         def apply(rows):
             got = [statistics(t) for t in rows["text"]]
             columns = list(zip(*got)) if got else [()] * 7
             names = [x.split()[0] for x in STATS.split(", ")]
-            return dict(zip(names, [rows["doc_id"], *map(list, columns)]))
+            return dict(zip(names, [rows["doc_id"], *map(list, columns)])) | {k: rows[k] for k in own}
 
         return apply
 
-    return map_batches(docs.select("doc_id", "text"), make, STATS)
+    return map_batches(docs.select("doc_id", "text", *own), make, with_key(STATS, key))
 
 
 def normal_path(n) -> np.ndarray:
@@ -142,12 +148,12 @@ def threshold(by_bin: list[tuple[int, int, int]], bins: int, keep_loss: float) -
     return found
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, trees: int = 100, tree_rows: int = 256, keep_loss: float = 0.001, bins: int = 10_000, seed: int = 7) -> DataFrame:
-    """For each row of docs (doc_id, text): the statistics, base_failed, anomaly and kept. labels: doc_id, quality."""
-    stats = cut_lineage(document_statistics(docs))
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, trees: int = 100, tree_rows: int = 256, keep_loss: float = 0.001, bins: int = 10_000, seed: int = 7, key: str | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text): the statistics, base_failed, anomaly and kept. labels: doc_id, quality. key: a column of longs to return too."""
+    stats = cut_lineage(document_statistics(docs, key))
     marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null")
     sample = smallest_by_hash(stats.filter("not base_failed").select("doc_id", "features"), ["doc_id", "features"], fit_rows, stats.count())
-    names = [x.split()[0] for x in BASE.split(", ")]
+    names = [x.split()[0] for x in with_key(BASE, key).split(", ")]
     if not sample:
         return stats.select(*names, F.lit(0.0).alias("anomaly"), F.lit(False).alias("kept"))
     forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(np.array([r["features"] for r in sample]), trees, tree_rows, seed))
@@ -159,7 +165,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, tree
 
         return apply
 
-    scored = cut_lineage(map_batches(stats, make, BASE + ", anomaly double"))
+    scored = cut_lineage(map_batches(stats, make, with_key(BASE, key) + ", anomaly double"))
     bin_of = F.least(F.floor(F.col("anomaly") * bins), F.lit(bins - 1))
     judged = scored.filter("not base_failed").join(marked, "doc_id").groupBy(bin_of.alias("b"))
     by_bin = [tuple(r) for r in judged.agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")).collect()]  # bins rows at most

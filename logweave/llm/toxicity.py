@@ -352,16 +352,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int, fit_clean: int, fi
 
 def score_toxicity(
     docs: DataFrame, training: DataFrame, labels: DataFrame, cut: float = 0.7, fit_toxic: int = 1500, fit_clean: int = 4500, fit_chars: int = 20_000,
-    hidden: int = 8, window: int = 32, char_steps: int = 1500, word_epochs: int = 6, seed: int = 5,
+    hidden: int = 8, window: int = 32, char_steps: int = 1500, word_epochs: int = 6, seed: int = 5, key: str | None = None,
 ) -> DataFrame:
-    """doc_id, score and predicted for each row of docs (doc_id, text); learned from the rows of training that labels (doc_id, toxic) mark."""
+    """doc_id, score and predicted for each row of docs (doc_id, text); learned from the rows of training that labels (doc_id, toxic) mark. key: a column of longs to return too."""
+    own = [key] if key else []
     model = docs.sparkSession.sparkContext.broadcast(train(training.select("doc_id", "text"), labels, fit_toxic, fit_clean, fit_chars, hidden, window, char_steps, word_epochs, seed))
 
     def make():
         def apply(rows):
             scores = model.value.scores(rows["text"]) if model.value else [0.0] * len(rows["text"])
-            return {"doc_id": rows["doc_id"], "score": scores, "predicted": [int(s >= cut) for s in scores]}
+            return {"doc_id": rows["doc_id"], "score": scores, "predicted": [int(s >= cut) for s in scores]} | {k: rows[k] for k in own}
 
         return apply
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, score double, predicted int")
+    return map_batches(docs.select("doc_id", "text", *own), make, "doc_id long, score double, predicted int" + "".join(f", {k} long" for k in own))

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 from logweave.llm import quality, simhash
 from logweave.llm.common import table
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -59,3 +60,27 @@ def test_near_copies_equal_all_pairs_of_shingle_sets(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(top))
+
+
+def test_stages_decide_by_row_not_by_id(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    good = [r["text"] for r in docs.join(table(spark, SMALL, "labels").filter("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").limit(3).collect()]
+    rows = [(None, good[0]), (None, "too short"), (None, good[0]), (-1, good[1]), (-1, "short too"), (-2, good[2]), (-2, good[2])]
+    mixed = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    added = "doc_id is null or doc_id < 0"
+    kept = corpus_pipeline.quality_rules(spark, mixed, SMALL).filter(added)
+    assert sorted(r["text"] for r in kept.collect()) == sorted([good[0]] * 2 + [good[1]] + [good[2]] * 2)
+    copies = spark.createDataFrame(rows, "doc_id long, text string")
+    single = corpus_pipeline.near_duplicates(spark, copies, SMALL)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in single.collect()) == sorted({(i or 0, t) for i, t in rows})
+    assert single.columns == copies.columns
+
+
+def test_toxicity_decides_by_row_not_by_id(spark, monkeypatch):
+    def by_word(docs, *others, key):
+        return docs.select("doc_id", F.col("text").contains("bad").cast("int").alias("predicted"), key)
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score_toxicity", by_word)
+    rows = [(None, "fine"), (None, "bad"), (1, "bad"), (1, "fine too"), (2, "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.toxicity_filter(spark, docs, SMALL).collect()) == ["fine", "fine too"]
