@@ -65,13 +65,13 @@ class WordEncoder:
         word = chunk.lower()
         return word.encode().decode("latin-1").translate(_AS_CHAR) if word.isalpha() else None
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > self.half:
-            self.memo, self.old = {}, self.memo
-        plain, rest = [], []
-        for c in chunks:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of all chunks (distinct), in their order. The memo gets the new ones afterwards, as far as it holds them."""
+        found, plain, rest = dict(zip(chunks, map(self.memo.get, chunks))), [], []
+        new = [c for c, known in found.items() if known is None]
+        for c in new:
             if (known := self.old.get(c)) is not None:
-                self.memo[c] = known
+                found[c] = known
                 continue
             tail = c[-1:] if c[-1:] in (",", ".") else ""
             word = self._single(c[:-1] if tail else c)
@@ -86,19 +86,19 @@ class WordEncoder:
             if len(ends) != len(part):
                 raise AssertionError("each word has one last token")
             raw = ids.tobytes()
-            self.memo.update({c: raw[a:b] + self.tails[tail] for (c, _, tail), a, b in zip(part, [0, *ends], ends)})
+            found.update({c: raw[a:b] + self.tails[tail] for (c, _, tail), a, b in zip(part, [0, *ends], ends)})
         for i in range(0, len(rest), 1000):
-            self.memo.update(zip(rest[i : i + 1000], self._by_library(rest[i : i + 1000])))
+            found.update(zip(rest[i : i + 1000], self._by_library(rest[i : i + 1000])))
+        if len(self.memo) + len(new) > self.half:
+            self.memo, self.old = {}, self.memo
+        self.memo.update({c: found[c] for c in new[: self.half]})
+        return found
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(pa.array([self._lowered(t) for t in texts], pa.large_string()))
         numbered = split.flatten().dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
-        if new := [c for c in distinct if c not in self.memo]:
-            self._learn(new)
-            if any(c not in self.memo for c in distinct):  # a new generation began
-                self._learn([c for c in distinct if c not in self.memo])
-        known = [self.memo[c] for c in distinct]
+        known = list(self._learn(distinct).values())
         flat = np.frombuffer(b"".join(known), "<u4")
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts = np.cumsum(sizes) - sizes

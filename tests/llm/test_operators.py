@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from logweave.llm import html_extract, language_id, license_scan, packing, piece_nbest, quality, queries, simhash, token_count, topk_search, toxicity
+from logweave.llm import html_extract, language_id, license_scan, packing, piece_nbest, quality, queries, simhash, token_count, topk_search, toxicity, word_encoder
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -216,6 +216,14 @@ def test_token_counts_by_chunks_equal_the_library(spark):
     assert [r["n_bytes"] for r in got] == [len((t or "").encode()) for t in texts] and got[1]["over_limit"]
 
 
+def test_encoder_with_a_memo_smaller_than_a_batch():
+    first, second = ([" ".join(f"{'ab'[k % 2]}x{k}é" for k in range(a, b))] for a, b in ((0, 6), (4, 14)))
+    encoder = word_encoder.WordEncoder(capacity=16)
+    for texts in (first, second, first + second, second):
+        assert [x.tolist() for x in encoder.ids(texts)] == library_ids(texts)
+        assert len(encoder.memo) <= 8 and len(encoder.old) <= 8
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=#>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><div id=content><h1>A &amp; B</h1><p>First   paragraph, with some commas, and&nbsp;words.</p><script>x</script>
 <p>Second one, <a href=#>with link</a>, is also here.</p><ul><li>item one</li><li>item two</li></ul></div>
