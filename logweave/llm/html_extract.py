@@ -1,7 +1,8 @@
 """Operator 8: main text of web pages by tree scoring.
 
 A page becomes a light tree of its block elements. Subtrees that are boilerplate by tag, role or class name (menus,
-footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out. Each remaining paragraph passes points
+footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out; a name alone doesn't cut off a node that
+holds the article or most of the page's text, nor does what follows has-, with- or no- in it. Each remaining paragraph passes points
 for its length and its commas to its ancestors, less with the distance; a container's points are discounted by its link
 density. The container with most points wins, or the article element around it; siblings that look like text are kept too.
 
@@ -32,26 +33,38 @@ _NAMES = re.compile(
     r"newsletters?|subscribe|subscription|signup|pagers?|pagination|popups?|modals?|overlay|promos?|promotions?|promoted|recommended|recommendations?|related|replies|reply|share|sharing|sidebars?|skip|social|sponsors?|sponsored|toolbar|widgets?|login|outbrain|taboola|teasers?|topbar|site-header|page-header)(?:$|[\s_-])",
     re.I,
 )
+#: Words after which a name only says what else is on the page, as in "with-sidebar".
+_MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no|hide|hidden|show)[_-]\S*", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _KEPT_WHATEVER_NAME = {"html", "body", "article", "main"}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus|replies|reply)(?:$|[\s_-])", re.I)
+_TEASER = re.compile(r"teasers?", re.I)
+
+
+def _is_left_out(tag: str, attributes: str, in_article: bool) -> str:
+    """Empty, "always", or for what names alone make boilerplate "named" or "readers" (their
+    comments); "article" for an article with such a name, which isn't left out, but speaks for nothing around it."""
     if tag in _LEFT_OUT:
-        return True
+        return "always"
     if tag == "header" and not in_article:
-        return True
+        return "always"
     if not attributes.strip():
-        return False
+        return ""
     got = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if "hidden" in got or got.get("aria-hidden") == "true" or _HIDDEN.search(got.get("style", "")):
-        return True
-    names = _CAMEL.sub("-", f"{got.get('class', '')} {got.get('id', '')}")
+        return "always"
+    names = _MODIFIED.sub("", _CAMEL.sub("-", f"{got.get('class') or ''} {got.get('id') or ''}"))
+    if tag == "p" and in_article:
+        names = _TEASER.sub("", names)  # the lead
     named = _NAMES.search(names) is not None
     if tag in _KEPT_WHATEVER_NAME:
-        return tag == "article" and in_article and named  # a comment inside the article
-    return got.get("role", "").lower() in _ROLES or named
+        return ("always" if in_article else "article") if tag == "article" and named else ""  # a comment inside the article
+    if got.get("role", "").lower() in _ROLES:
+        return "always"
+    return ("readers" if _READERS.search(names) else "named") if named else ""
 
 
 class _Page:
@@ -61,6 +74,8 @@ class _Page:
         self.tags, self.parents, self.blocks = ["root"], [-1], []
         self.stack, self.out_depth, self.link = [0], 0, False
         self.articles = 0
+        self.named_articles: set[int] = set()
+        self.named: dict[int, bool] = {}  # nodes that names alone make boilerplate; whether of readers' comments
         self.pieces: list[str] = []
         self.linked = 0
         at = 0
@@ -113,7 +128,8 @@ class _Page:
         if tag == "a":
             self.link = True
         if tag not in _BLOCK:
-            if self.out_depth or not _is_left_out(tag, attributes, self.articles > 0):
+            why = _is_left_out(tag, attributes, self.articles > 0)
+            if self.out_depth or not why:
                 return  # inline elements aren't nodes, unless they are left out
         else:
             self._flush()
@@ -125,10 +141,16 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.stack.append(len(self.tags) - 1)
-        if self.out_depth or _is_left_out(tag, attributes, self.articles > 0):
+        if tag in _BLOCK:
+            why = _is_left_out(tag, attributes, self.articles > 0)
+        if self.out_depth or why == "always" or why and tag not in _BLOCK:
             self._flush()
             self.out_depth += 1
-        elif tag in ("article", "main"):
+        elif why == "article":
+            self.named_articles.add(len(self.tags) - 1)
+        elif why:
+            self.named[len(self.tags) - 1] = why == "readers"
+        if not self.out_depth and tag in ("article", "main"):
             self.articles += 1
 
     def _pop(self) -> None:
@@ -152,15 +174,52 @@ class _Page:
                 return
 
 
+def _worth(tag: str, text: str, in_links: int) -> float:
+    bare = len(text) - text.count(" ")
+    worth = len(text) / 100 + sum(map(text.count, ",،、，")) + (len(text) >= 25)
+    return worth * (1 - min(1.0, in_links / bare) if tag not in _HEADINGS else 0.1)
+
+
+def _without_boilerplate(page: _Page) -> list[tuple[int, str, int]]:
+    """The blocks, without nodes that names make boilerplate. Such a node stays if it holds an article or main element worth more
+    than all outside of such nodes, or, where no article or main element stands outside, most of the page but readers' comments."""
+    if not page.named:
+        return page.blocks
+    n = len(page.tags)
+    own, inside, readers = [0.0] * n, [False] * n, [False] * n
+    for node, text, in_links in page.blocks:
+        own[node] += _worth(page.tags[node], text, in_links)
+    for i in range(1, n):  # parents come first
+        up = page.parents[i]
+        inside[i] = inside[up] or i in page.named
+        readers[i] = readers[up] or page.named.get(i, False)
+    worth, articles, best = own[:], [False] * n, [0.0] * n
+    for i in range(n - 1, 0, -1):
+        up = page.parents[i]
+        worth[up] += worth[i]
+        if page.tags[i] in ("article", "main") and i not in page.named_articles and worth[i]:
+            best[i] = max(best[i], worth[i])
+            articles[i] = not inside[i]
+        if not page.named.get(i, False):
+            best[up] = max(best[up], best[i])
+    outside = sum(w for w, named in zip(own, inside) if not named)
+    total = sum(w for w, mine in zip(own, readers) if not mine)
+    stays = {i for i, mine in page.named.items() if best[i] > outside or not mine and not any(articles) and 2 * worth[i] > total}
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[page.parents[i]] or i in page.named and i not in stays
+    return [x for x in page.blocks if not out[x[0]]]
+
+
 def main_text(html: str | None) -> str:
     page = _Page(html or "")
+    page.blocks = _without_boilerplate(page)
     n = len(page.tags)
     points, chars, linked = [0.0] * n, [0] * n, [0] * n
     links_in = [0] * n
     for node, text, in_links in page.blocks:
         bare = len(text) - text.count(" ")
-        worth = len(text) / 100 + sum(map(text.count, ",،、，")) + (len(text) >= 25)
-        worth *= 1 - min(1.0, in_links / bare) if page.tags[node] not in _HEADINGS else 0.1
+        worth = _worth(page.tags[node], text, in_links)
         up, level = node if page.tags[node] not in ("p", "li", "pre", "td", "blockquote", "dd", *_HEADINGS) else page.parents[node], 0
         while up > 0:
             points[up] += worth / (1, 2)[level] if level < 2 else worth / (3 * level)
@@ -179,15 +238,23 @@ def main_text(html: str | None) -> str:
     up = best
     while up > 0 and page.tags[up] != "article":
         up = page.parents[up]
-    kept = {up if up > 0 else best}
+    chosen = up if up > 0 else best
+    kept = {chosen}
     if up <= 0 and best:
         least = max(2.0, 0.2 * scores[best])
         own = {node: text for node, text, _ in page.blocks}
+        looks = lambda text: len(text) > 80 or re.search(r"[.!?…](?:\s|$)", text) is not None
+        holds = set()  # nodes with a paragraph that looks like text
+        for node, text, in_links in page.blocks:
+            if page.tags[node] == "p" and looks(text) and 4 * in_links < len(text):
+                while node >= 0 and node not in holds:
+                    holds.add(node)
+                    node = page.parents[node]
         for i in range(1, n):
             if page.parents[i] == page.parents[best] and i != best and chars[i]:
                 text = own.get(i, "")
-                like_text = density[i] < 0.25 and (len(text) > 80 or re.search(r"[.!?…](?:\s|$)", text) is not None)
-                if scores[i] >= least or page.tags[i] == "p" and like_text or page.tags[i] in _HEADINGS:
+                like_text = density[i] < 0.25 and (looks(text) if page.tags[i] == "p" else i in holds)
+                if scores[i] >= least or page.tags[i] in ("p", "section", "div", "blockquote") and like_text or page.tags[i] in _HEADINGS:
                     kept.add(i)
     out = []
     for node, text, in_links in page.blocks:
@@ -195,6 +262,7 @@ def main_text(html: str | None) -> str:
         while up >= 0:
             if up in kept:
                 inside = True
+                menu &= up != chosen or page.tags[up] in ("root", "html", "body")  # lists of references belong to the article
                 break
             menu |= page.tags[up] in ("ul", "ol") and density[up] > 0.8 and links_in[up] >= 3
             up = page.parents[up]

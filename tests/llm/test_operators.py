@@ -237,6 +237,30 @@ def test_main_text_of_a_page(spark):
     assert all(r["n_chars"] == len(r["text"]) and "<" not in r["text"] or True for r in rows) and sum(bool(r["text"]) for r in rows) > 0.9 * len(rows)
 
 
+LONG = "This is a paragraph of the article, with commas, and with quite enough words to be worth some points."
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "layout has-sidebar", "no-ads", "page has-nav", "main-menu-open", "mainMenuOpen", "notices"])
+def test_names_of_wrappers_dont_cut_the_article(name):
+    for inner in (f"<article><p>{LONG}</p><p>{LONG}</p></article>", f"<p>{LONG}</p><p>{LONG}</p>"):
+        html = f"<body><div>Site</div><div class='{name}'>{inner}<div class=sidebar><p>Other news, and more.</p></div></div><div class=comments><p>{LONG}</p></div></body>"
+        assert html_extract.main_text(html) == f"{LONG}\n{LONG}"
+
+
+def test_long_sidebars_and_comments_stay_out():
+    other = f"<p>{LONG}</p>" * 5
+    for name in ("sidebar", "comments", "related"):
+        assert html_extract.main_text(f"<body><article><p>{LONG}</p></article><div class={name}>{other}</div></body>") == LONG
+    assert html_extract.main_text(f"<body><div><p>{LONG}</p></div><div id=comments><article class=comment>{other}</article></div></body>") == LONG
+
+
+def test_leads_short_sections_and_references_belong_to_the_text():
+    assert html_extract.main_text(f"<article><p class=teaser>The lead.</p><p>{LONG}</p></article>") == f"The lead.\n{LONG}"
+    assert html_extract.main_text(f"<body><section><p>{LONG}</p><p>{LONG}</p></section><section><p>That is all.</p></section></body>").endswith("That is all.")
+    refs = "<ul>" + "".join(f"<li><a href=#>Reference {i}</a></li>" for i in range(4)) + "</ul>"
+    assert html_extract.main_text(f"<body>{refs}<article><p>{LONG}</p>{refs}</article></body>").count("Reference") == 4
+
+
 def test_gradients_of_the_recurrent_network():
     rng = np.random.default_rng(0)
     net = toxicity.BiGRU(3, rng)
