@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import near_copies, packing, quality, toxicity
-from logweave.llm.common import cut_lineage, held_out, table
+from logweave.llm.common import cut_lineage, held_out, may_be_in, table
 
 #: Neither a forest, nor a network, nor XXH64 fingerprints, nor a plan for packing can be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -23,7 +23,10 @@ def with_row_keys(docs: DataFrame) -> DataFrame:
 
 def keep_rows(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of keyed whose row_key is in kept, without their keys."""
-    return keyed.join(kept.select("row_key"), "row_key", "left_semi").drop("row_key")
+    dropped = cut_lineage(keyed.select("row_key").join(kept.select("row_key"), "row_key", "left_anti"))
+    keyed = keyed.withColumn("suspect", may_be_in(dropped, "row_key"))
+    stays = keyed.filter("not suspect").union(keyed.filter("suspect").join(dropped, "row_key", "left_anti").select(keyed.columns))
+    return stays.drop("row_key", "suspect")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

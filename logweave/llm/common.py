@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,25 @@ def smallest_by_hash(rows: DataFrame, keys: list[str], n: int, total: int) -> li
     return first(rows)
 
 
+def may_be_in(keys: DataFrame, key: str, bits: int = 23):
+    """A condition on the column key: false only where no row of keys has that key. It holds a bit map of fixed size, and saves dealing out
+    rows that a join wouldn't find; what passes still has to be joined."""
+    from pyspark.sql.functions import pandas_udf
+
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = keys.select(place(key).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("ones"))
+    table = np.zeros(1 << bits - 6, np.int64)
+    for r in words.collect():  # 2 ** 17 rows at most
+        table[r["word"]] = r["ones"]
+    held = keys.sparkSession.sparkContext.broadcast(table)
+
+    def found(p):
+        at = p.to_numpy()
+        return type(p)((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return pandas_udf(found, "boolean", 200)(place(key))
+
+
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow with lists: make() is called once a task and returns a function from a dict of lists to a dict of lists."""
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches
+from .common import cut_lineage, map_batches, may_be_in
 from .simhash import SALTS, components
 
 SAMPLE, COMMON = 8_000, 50_000
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, size: int, similarity: float, common: dict[int,
         ranked = np.sort(np.fromiter(rank, np.int64, len(rank)))
 
         def apply(rows):
-            out = {"row_key": rows["row_key"], "set_hash": [], "n": [], "prefix": []}
+            out = {k: rows[k] for k in ("row_key", "doc_id", "text_hash")} | {"set_hash": [], "n": [], "prefix": []}
             for text in rows["text"]:
                 own = shingles(text, size)
                 is_common = np.isin(own, ranked)
@@ -79,11 +79,13 @@ def signatures(docs: DataFrame, size: int, similarity: float, common: dict[int,
 
         return apply
 
-    return map_batches(docs.select("row_key", "text"), make, "row_key long, set_hash long, n long, prefix array<long>")
+    return map_batches(docs.select("row_key", "doc_id", F.xxhash64("text").alias("text_hash"), "text"), make, "row_key long, doc_id long, text_hash long, set_hash long, n long, prefix array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of pairs (a, b), those whose texts are similar enough. A set in many pairs is joined by (key, salt)."""
+    pairs = cut_lineage(pairs)
+    texts = texts.filter(may_be_in(pairs.select("a").union(pairs.select("b")).toDF("row_key"), "row_key"))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     first = pairs.select("a", "salt").distinct().join(texts.toDF("a", "text_a"), "a")
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(first, ["a", "salt"]).sortWithinPartitions("a")
@@ -110,13 +112,13 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 
 def first_of_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The row_key of one row of each group of near copies among docs (row_key, doc_id, text); row_key is unique."""
-    ids = docs.select("row_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"), "row_key").alias("top"))
-    signed = signatures(docs, size, similarity, common_shingles(docs, size)).join(ids, "row_key")
-    sets = cut_lineage(signed.groupBy("set_hash", "n").agg(F.min("row_key").alias("a"), F.min("top").alias("top"), F.first("prefix").alias("prefix")))
+    top = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_key")
+    signed = signatures(docs, size, similarity, common_shingles(docs, size))
+    sets = cut_lineage(signed.groupBy("set_hash", "n").agg(F.min("row_key").alias("a"), F.min(top).alias("top"), F.first("prefix").alias("prefix")))
     texts = docs.select("row_key", "text")
 
     by_shingle = Window.partitionBy("shingle")
-    dealt = sets.select("a", "n", F.posexplode("prefix").alias("i", "shingle"))
+    dealt = sets.select("a", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle"))
     first = F.min(F.struct("a", "n")).over(by_shingle)
     meeting = cut_lineage(dealt.withColumns({"times": F.count("*").over(by_shingle), "first": first}).filter("times > 1").select("shingle", "a", "n", "i", "first"))
 
