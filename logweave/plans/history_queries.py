@@ -13,7 +13,10 @@ CLOSURE = """reach AS (SELECT branch_id, branch_id AS ancestor, 0 AS distance, C
   FROM reach r JOIN branches b ON b.branch_id = r.ancestor WHERE b.parent_branch IS NOT NULL),
 closure AS (SELECT r.branch_id, r.ancestor, r.distance, coalesce(b.fork_seq, 0) AS from_seq, r.upto FROM reach r JOIN branches b ON b.branch_id = r.ancestor)"""
 SEEN = "seen AS (SELECT c.branch_id, e.branch_id AS origin, e.seq, e.type, e.cost_micros FROM closure c JOIN evlog e ON e.branch_id = c.ancestor AND e.seq >= c.from_seq AND (c.upto IS NULL OR e.seq < c.upto))"
-IS_RESULT = F.col("type").isin("purchase", "click")
+
+
+def is_result():
+    return F.col("type").isin("purchase", "click")
 
 
 @query(with_views(EVLOG) + "SELECT branch_id, seq, type, step_id, at_ms - first_value(at_ms) OVER (PARTITION BY branch_id ORDER BY seq) AS offset_ms, type || ' for ' || cost_micros AS detail FROM evlog")
@@ -74,7 +77,7 @@ def steps_of(spark, d):
     e = evlog(spark, d)
     before = F.lag("at_ms").over(views.ordered())
     return e.withColumns({
-        "kind": F.when(F.col("type") == "view", "llm").when(IS_RESULT, "effect").otherwise("signal"),
+        "kind": F.when(F.col("type") == "view", "llm").when(is_result(), "effect").otherwise("signal"),
         "source": F.when(F.col("event_id") % 10 == 0, "simulated:parent").otherwise("live"),
         "tokens": F.ceil(F.octet_length("body") / 4),
         "duration_ms": F.coalesce(F.col("at_ms") - before, F.lit(0)),
@@ -122,7 +125,7 @@ segments AS (SELECT branch_id, segment, min(epoch) AS epoch, min(seq) AS first_s
 @query(with_views(EVLOG, SEGMENTS) + "SELECT * FROM segments")
 def segments(spark, d):
     e = evlog(spark, d).withColumn("epoch", F.when(F.col("event_id") % 11 == 0, 0).otherwise(F.col("epoch")))
-    return views.segments(e, IS_RESULT)
+    return views.segments(e, is_result())
 
 
 @query(

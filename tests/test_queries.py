@@ -1,5 +1,9 @@
 """Every log query against its SQL, on the smallest driver tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from logweave.plans import queries as core
 
@@ -21,3 +25,8 @@ def test_entry_and_registry_agree():
     import __spark_entry__ as entry
 
     assert set(ORACLES) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    said = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql(); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", said], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
