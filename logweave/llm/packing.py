@@ -5,7 +5,8 @@
    counts: all pieces of a length are placed at once into the fullest groups of equal sequences that still take them.
    The plan has a row for each length and group, never one for each piece.
 3. Pieces get a rank within their length. It is the rank within (length, salt) plus the number of pieces of that length
-   in smaller salts, so that a length that a third of all pieces share is ranked by many tasks.
+   in smaller salts. The salts grow with the number of pieces, at about SALT_ROWS pieces each, so that however many pieces
+   share a length, a task ranks at most about SALT_ROWS of them at once.
 4. Pieces take the planned slots by joining on rank within length.
 
 Null texts are empty: they have the end id alone. Repeated rows are packed as rows of their own; among equal ones it doesn't
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_batches
 from .word_encoder import WordEncoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 PLAN = "length long, lo long, hi long, per_sequence long, first_sequence long, first_offset long"
-SALTS = 64
+SALT_ROWS = 20_000
 
 
 def best_fit_plan(counts: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -74,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> Dat
                 for k, start in enumerate(range(0, len(ids), max_tokens)):
                     part = ids[start : start + max_tokens]
                     crc = zlib.crc32(part.tobytes())
-                    for column, value in zip(out.values(), (doc_id, k, start, len(part), crc, zlib.crc32(f"{doc_id}:{k}:{crc}".encode()) % SALTS)):
+                    for column, value in zip(out.values(), (doc_id, k, start, len(part), crc, zlib.crc32(f"{doc_id}:{k}:{crc}".encode()))):
                         column.append(value)
             return out
 
@@ -87,10 +88,11 @@ def pack(docs: DataFrame, max_tokens: int = 4096, tokenizer: str = "word_bpe_49k
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
     made = cut_lineage(pieces(docs, tokenizer, max_tokens, end_id))
+    made = made.withColumn("salt", F.pmod("spread", F.lit(-(-made.count() // SALT_ROWS) or 1)))
     by_salt = made.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
     plan = spark.createDataFrame(best_fit_plan(counts, max_tokens), PLAN)
-    smaller = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # SALTS rows at most
+    smaller = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # a row for each salt
     before = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("smaller"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = made.withColumn("own_rank", F.row_number().over(own) - 1)
