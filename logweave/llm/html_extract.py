@@ -1,15 +1,17 @@
 """Operator 8: main text of web pages by tree scoring.
 
-A page becomes a light tree of its block elements. Subtrees that are boilerplate by tag, role or class name (menus,
-footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out; a name alone doesn't cut off a node that
-holds the article or most of the page's text, nor does what follows has-, with- or no- in it. Each remaining paragraph passes points
-for its length and its commas to its ancestors, less with the distance; a container's points are discounted by its link
-density. The container with most points wins, or the article element around it; siblings that look like text are kept too.
+A page becomes a light tree of its block elements. Subtrees that are boilerplate by tag, role or name (menus,
+footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out. A name is a whole class, or outside an
+article a whole id, made of telling and neutral words alone; it doesn't cut off a node that holds the article or most of
+the page's text. Each remaining paragraph passes points for its length and its commas to its nearest six ancestors, less
+with the distance; a container's points are discounted by its link density. Sums run once from the leaves to the root, so
+the work is in proportion to the page. The container with most points wins, or the article element around it; siblings that look like text are kept too.
 
 A null or empty page, and one without text, give an empty text. Repeated rows come back once each. Other columns aren't read.
 """
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "noscript", "template", "textarea", "select", "iframe", "svg", "math", "object", "video", "audio", "canvas", "title", "noembed", "noframes"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "base", "area", "col", "embed", "source", "track", "wbr", "param"}
@@ -26,22 +28,31 @@ _BLOCK = set(
 )
 _CLOSED_BY_OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PARAGRAPHS = {"p", "li", "pre", "td", "blockquote", "dd", *_HEADINGS}
+#: What a paragraph gives its ancestors, from the nearest on.
+SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15)
 _LEFT_OUT = {"nav", "footer", "aside", "form", "fieldset", "dialog", "menu", "head", "search", "button"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|respond|disqus|cookies?|consent|gdpr|notices?|alerts?|notifications?|footers?|masthead|menus?|nav|navbar|navigation|"
-    r"newsletters?|subscribe|subscription|signup|pagers?|pagination|popups?|modals?|overlay|promos?|promotions?|promoted|recommended|recommendations?|related|replies|reply|share|sharing|sidebars?|skip|social|sponsors?|sponsored|toolbar|widgets?|login|outbrain|taboola|teasers?|topbar|site-header|page-header)(?:$|[\s_-])",
-    re.I,
+#: Words that name what isn't the article, and words that only say where or how it stands. A name counts if
+#: all its parts are such words and one is of the first kind: "cookie-notice" and "related-posts" do, "related-work" doesn't.
+_NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr notice notices alert alerts notification notifications footer footers masthead menu menus nav navbar navigation newsletter subscribe subscription signup pager pagination popup popups modal modals overlay promo promos promotion promotions promoted recommended recommendations related replies reply share sharing sidebar sidebars skip social sponsor sponsors sponsored toolbar widget widgets login outbrain taboola teaser teasers topbar".split()
 )
-#: Words after which a name only says what else is on the page, as in "with-sidebar".
-_MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no|hide|hidden|show)[_-]\S*", re.I)
+_NEUTRAL = set(
+    "site page main top bottom left right upper lower bar box list lists section sections wrapper wrap container content block area form post posts article articles story stories link links button buttons icon icons media inner outer global primary secondary item items slot unit group panel column col row header head title text thread user reader bottom nav sub mobile desktop sticky fixed footer email mail print tools tool stream feed more".split()
+)
+_READERS = {"comment", "comments", "commentlist", "respond", "disqus", "replies", "reply"}
+_HEADER = {"header", "site-header", "page-header"}
+_PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _KEPT_WHATEVER_NAME = {"html", "body", "article", "main"}
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus|replies|reply)(?:$|[\s_-])", re.I)
-_TEASER = re.compile(r"teasers?", re.I)
+def _named(name: str) -> set[str]:
+    """The telling words of a class or id, if the whole name is made of them and of neutral ones."""
+    parts = set(_PARTS.sub(" ", name).lower().split())
+    telling = parts & _NAMES
+    return telling if telling and parts <= _NAMES | _NEUTRAL else set()
 
 
 def _is_left_out(tag: str, attributes: str, in_article: bool) -> str:
@@ -56,15 +67,20 @@ def _is_left_out(tag: str, attributes: str, in_article: bool) -> str:
     got = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if "hidden" in got or got.get("aria-hidden") == "true" or _HIDDEN.search(got.get("style", "")):
         return "always"
-    names = _MODIFIED.sub("", _CAMEL.sub("-", f"{got.get('class') or ''} {got.get('id') or ''}"))
+    classes = (got.get("class") or "").split()
+    named = set().union(*map(_named, classes)) if tag not in _HEADINGS else set()
+    own_id = got.get("id") or ""
+    if not named and tag not in _HEADINGS and own_id and (not in_article or own_id.lower() in _READERS):
+        named = _named(own_id)
+    if not in_article and _HEADER.intersection(map(str.lower, classes)):
+        named = named | {"header"}
     if tag == "p" and in_article:
-        names = _TEASER.sub("", names)  # the lead
-    named = _NAMES.search(names) is not None
+        named = named - {"teaser", "teasers"}  # the lead
     if tag in _KEPT_WHATEVER_NAME:
         return ("always" if in_article else "article") if tag == "article" and named else ""  # a comment inside the article
     if got.get("role", "").lower() in _ROLES:
         return "always"
-    return ("readers" if _READERS.search(names) else "named") if named else ""
+    return ("readers" if named & _READERS else "named") if named else ""
 
 
 class _Page:
@@ -73,6 +89,8 @@ class _Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.blocks = ["root"], [-1], []
         self.stack, self.out_depth, self.link = [0], 0, False
+        self.open: Counter = Counter()  # tags on the stack
+        unclosed: set[str] = set()  # raw elements of which no end follows
         self.articles = 0
         self.named_articles: set[int] = set()
         self.named: dict[int, bool] = {}  # nodes that names alone make boilerplate; whether of readers' comments
@@ -94,7 +112,9 @@ class _Page:
                     self._close(tag)
                 elif tag in _RAW:
                     self._raw_follows(tag)
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    if end is None:
+                        unclosed.add(tag)
                     at = end.end() if end else size if tag in ("script", "style") else at
                 else:
                     self._open(tag, m[3])
@@ -141,6 +161,7 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.stack.append(len(self.tags) - 1)
+        self.open[tag] += 1
         if tag in _BLOCK:
             why = _is_left_out(tag, attributes, self.articles > 0)
         if self.out_depth or why == "always" or why and tag not in _BLOCK:
@@ -156,6 +177,7 @@ class _Page:
     def _pop(self) -> None:
         self._flush()
         node = self.stack.pop()
+        self.open[self.tags[node]] -= 1
         if self.out_depth:
             self.out_depth -= 1
         elif self.tags[node] in ("article", "main"):
@@ -164,14 +186,13 @@ class _Page:
     def _close(self, tag: str) -> None:
         if tag == "a":
             self.link = False
-        if tag == "p" and not any(self.tags[n] == "p" for n in self.stack):
-            self._flush()
+        if not self.open[tag]:
+            if tag == "p":
+                self._flush()
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[i]] == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
+        while self.tags[self.stack[-1]] != tag:
+            self._pop()
+        self._pop()
 
 
 def _worth(tag: str, text: str, in_links: int) -> float:
@@ -211,64 +232,76 @@ def _without_boilerplate(page: _Page) -> list[tuple[int, str, int]]:
     return [x for x in page.blocks if not out[x[0]]]
 
 
-def main_text(html: str | None) -> str:
-    page = _Page(html or "")
-    page.blocks = _without_boilerplate(page)
+def _scores(page: _Page) -> tuple[list[float], list[float], list[int], list[int]]:
+    """By node: points less link density, link density, and over whole subtrees the characters and the blocks with links."""
     n = len(page.tags)
-    points, chars, linked = [0.0] * n, [0] * n, [0] * n
-    links_in = [0] * n
+    points, chars, linked, links_in = [0.0] * n, [0] * n, [0] * n, [0] * n
     for node, text, in_links in page.blocks:
-        bare = len(text) - text.count(" ")
         worth = _worth(page.tags[node], text, in_links)
-        up, level = node if page.tags[node] not in ("p", "li", "pre", "td", "blockquote", "dd", *_HEADINGS) else page.parents[node], 0
-        while up > 0:
-            points[up] += worth / (1, 2)[level] if level < 2 else worth / (3 * level)
-            up, level = page.parents[up], level + 1
-        up = node
-        while up >= 0:
-            chars[up] += bare
-            linked[up] += in_links
-            links_in[up] += in_links > 0
+        up = page.parents[node] if page.tags[node] in _PARAGRAPHS else node
+        for share in SHARES:
+            if up <= 0:
+                break
+            points[up] += worth * share
             up = page.parents[up]
+        chars[node] += len(text) - text.count(" ")
+        linked[node] += in_links
+        links_in[node] += in_links > 0
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        up = page.parents[i]
+        chars[up] += chars[i]
+        linked[up] += linked[i]
+        links_in[up] += links_in[i]
     density = [min(1.0, b / a) if a else 0.0 for a, b in zip(chars, linked)]
+    return [p * (1 - d) for p, d in zip(points, density)], density, chars, links_in
+
+
+def _looks_like_text(text: str) -> bool:
+    return len(text) > 80 or re.search(r"[.!?…](?:\s|$)", text) is not None
+
+
+def _siblings(page: _Page, best: int, scores, density, chars) -> set[int]:
+    """Siblings of the best container that score well or look like text, and headings."""
+    own = {node: text for node, text, _ in page.blocks}
+    holds: set[int] = set()  # nodes with a paragraph that looks like text
+    for node, text, in_links in page.blocks:
+        if page.tags[node] == "p" and _looks_like_text(text) and 4 * in_links < len(text):
+            while node >= 0 and node not in holds:
+                holds.add(node)
+                node = page.parents[node]
+    kept, least = set(), max(2.0, 0.2 * scores[best])
+    for i in range(1, len(page.tags)):
+        if page.parents[i] == page.parents[best] and i != best and chars[i]:
+            tag = page.tags[i]
+            like_text = density[i] < 0.25 and (_looks_like_text(own.get(i, "")) if tag == "p" else i in holds)
+            if scores[i] >= least or tag in ("p", "section", "div", "blockquote") and like_text or tag in _HEADINGS:
+                kept.add(i)
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    page = _Page(html or "")
+    page.blocks = _without_boilerplate(page)
     if not page.blocks:
         return ""
-    scores = [p * (1 - d) for p, d in zip(points, density)]
+    n = len(page.tags)
+    scores, density, chars, links_in = _scores(page)
     best = max(range(n), key=lambda i: (scores[i], -i))
-    up = best
-    while up > 0 and page.tags[up] != "article":
-        up = page.parents[up]
-    chosen = up if up > 0 else best
-    kept = {chosen}
-    if up <= 0 and best:
-        least = max(2.0, 0.2 * scores[best])
-        own = {node: text for node, text, _ in page.blocks}
-        looks = lambda text: len(text) > 80 or re.search(r"[.!?…](?:\s|$)", text) is not None
-        holds = set()  # nodes with a paragraph that looks like text
-        for node, text, in_links in page.blocks:
-            if page.tags[node] == "p" and looks(text) and 4 * in_links < len(text):
-                while node >= 0 and node not in holds:
-                    holds.add(node)
-                    node = page.parents[node]
-        for i in range(1, n):
-            if page.parents[i] == page.parents[best] and i != best and chars[i]:
-                text = own.get(i, "")
-                like_text = density[i] < 0.25 and (looks(text) if page.tags[i] == "p" else i in holds)
-                if scores[i] >= least or page.tags[i] in ("p", "section", "div", "blockquote") and like_text or page.tags[i] in _HEADINGS:
-                    kept.add(i)
-    out = []
-    for node, text, in_links in page.blocks:
-        up, inside, menu = node, False, False
-        while up >= 0:
-            if up in kept:
-                inside = True
-                menu &= up != chosen or page.tags[up] in ("root", "html", "body")  # lists of references belong to the article
-                break
-            menu |= page.tags[up] in ("ul", "ol") and density[up] > 0.8 and links_in[up] >= 3
-            up = page.parents[up]
-        if inside and not menu:
-            out.append(text)
-    return "\n".join(out)
+    chosen = best
+    while chosen > 0 and page.tags[chosen] != "article":
+        chosen = page.parents[chosen]
+    in_article = chosen > 0
+    chosen = chosen if in_article else best
+    kept = {chosen} | (_siblings(page, best, scores, density, chars) if best and not in_article else set())
+    whole_page = page.tags[chosen] in ("root", "html", "body")
+    inside, menu, under = [False] * n, [False] * n, [False] * n  # menus are looked for only where no narrower container was chosen; an article's lists of links belong to it
+    for i in range(n):
+        up = page.parents[i]
+        listed = page.tags[i] in ("ul", "ol") and density[i] > 0.8 and links_in[i] >= 3 and i not in kept
+        inside[i] = i in kept or i > 0 and inside[up]
+        under[i] = i == chosen or i > 0 and under[up]
+        menu[i] = inside[i] and i not in kept and (menu[up] or listed) and (whole_page or not under[i])
+    return "\n".join(text for node, text, _ in page.blocks if inside[node] and not menu[node])
 
 
 def extract(pages: DataFrame) -> DataFrame:
