@@ -31,6 +31,8 @@ class WordEncoder:
             raise ValueError(f"{name}: only tokenizers that drop white space can be encoded by chunks")
         one_thread()
         self.full = Tokenizer.from_file(public_tokenizers.path(name))
+        if self.full.encode(" \n ", add_special_tokens=False).ids:
+            raise ValueError(f"{name} keeps white space")
         self.words = Tokenizer(self.full.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.full.get_vocab_size() + 1, bool)
