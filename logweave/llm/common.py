@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir. Only a local session (tests) may do without, with a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -33,17 +35,30 @@ def held_out(key: str, modulus: int, rest: int):
 
 
 def smallest_by_hash(rows: DataFrame, keys: list[str], n: int, total: int) -> list:
-    """The n rows whose keys have the smallest hash, collected: a sample of bounded size. total: about how many rows there are.
+    """The n distinct rows whose keys have the smallest hash, collected: a sample of bounded size. total: about how many rows there are.
 
-    Rows far beyond the n-th are left out before tasks send theirs, so what reaches the driver doesn't grow with the number of tasks.
+    Rows beyond a bound that holds about 4 * n of them aren't compared, and repeated ones become one in their tasks, so what tasks
+    send doesn't grow with their number. Where too few lie below the bound, it is raised.
     """
-    hashed = F.xxhash64(*keys)
-    first = lambda df: df.orderBy(hashed, *keys).limit(n).collect()
-    if total > 8 * n:
-        found = first(rows.filter(hashed < F.lit(int(-(2**63) + 4 * n / total * 2**64))))
-        if len(found) == n:
+    hashed, share = F.xxhash64(*keys), 4 * n / max(total, 1)
+    while True:
+        part = rows.filter(hashed < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else rows
+        found = part.distinct().orderBy(hashed, *keys).limit(n).collect()
+        if len(found) == n or share >= 1:
             return found
-    return first(rows)
+        share *= 8
+
+
+def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
+    """The rows of df that stay, with all their columns. make() is called once a task and returns a function from an Arrow array of the column to a mask."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def may_be_in(keys: DataFrame, key: str, bits: int = 23):

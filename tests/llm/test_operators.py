@@ -318,7 +318,7 @@ def test_quality_statistics_equal_brute_force(spark):
 
 def test_isolation_forest_finds_the_far_row_and_the_threshold_keeps_good_rows():
     rng = np.random.default_rng(0)
-    rows = np.concatenate([rng.normal(0, 1, (500, 4)), [[9, 9, 9, 9]]])
+    rows = np.concatenate([rng.uniform(0, 0.2, (500, 4)), [[0.9, 0.9, 0.9, 0.9]]])
     forest = quality.IsolationForest(rows, 50, 256, 1)
     scores = forest.score(rows)
     assert scores.argmax() == 500 and abs(float(quality.normal_path(256)) - 10.2448) < 0.01
