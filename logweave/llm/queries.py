@@ -44,7 +44,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     own = held_out("doc_id", 3, 1)
-    found = toxicity.score_toxicity(docs, docs.filter(~own), table(spark, sf_dir, "labels"))
+    found = toxicity.score_toxicity(docs, docs.filter(~own), table(spark, sf_dir, "labels").filter(~own))
     return found.select("doc_id", own.alias("held_out"), "score", "predicted")
 
 

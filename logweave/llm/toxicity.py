@@ -4,21 +4,22 @@ A character network reads each distinct word and pools its states; the word netw
 logit and a hashed word embedding, over windows of `window` words that overlap by half, and pools its states into a logit.
 A document's score is a calibrated function of its highest window. Windows cover every word of the whole text.
 
-Training, in numpy on the driver, sees a bounded sample of labelled rows: at most fit_toxic and fit_clean rows of
-smallest hash, of at most fit_chars characters each (longer ones are only scored). First the character network learns
+Training, in numpy on the driver, sees a bounded sample of labelled rows: the fit_toxic and fit_clean labelled ids of
+smallest hash, as far as they are among the rows to learn from, with texts of at most fit_chars characters (longer ones are
+only scored). First the character network learns
 words' odds of standing in toxic texts; then the word network learns from the windows that rank highest in each text
 (a toxic text has a toxic window somewhere, a clean one has none); last, the highest windows are calibrated.
 
 Null and empty texts, and texts without a letter, have no words and get score 0. With no labelled rows
-of both kinds every score is 0. A doc_id with several labels counts as toxic if one of them is 1. Repeated rows come back once
-each; other columns aren't read.
+of both kinds every score is 0. A doc_id with several labels counts as toxic if one of them is 1; of several texts
+with one id, one is learned from. Repeated rows come back once each; other columns aren't read. An empty table gives an empty result.
 """
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, smallest_by_hash
+from .common import filter_rows, map_batches, smallest_by_hash
 
 CLASSES = 64  # of characters: none, a to z, and the others by remainder
 LONGEST = 48  # characters that the character network reads at once
@@ -262,25 +263,24 @@ class Model:
             return
         classes, lengths = char_classes(words)
         starts = np.cumsum(lengths) - lengths
-        p_high = n[1][high] ** 1.5
-        p_low = np.log1p(n[0][low])
+        weight = np.zeros(len(words))
+        for part, own in ((high, n[1][high] ** 1.5), (low, np.log1p(n[0][low]))):
+            weight[part] = own / own.sum()
+        sizes = np.unique(lengths[np.concatenate([high, low])])  # each step takes words of one length, so nothing is padded
+        groups = [(high[lengths[high] == size], low[lengths[low] == size]) for size in sizes]
+        mass = np.array([[weight[part].sum() for part in g] for g in groups])
         adam = Adam(0.01)
         params = {"letters": self.letters} | self.chars.p
-        for step in range(steps):
+        for step, at in enumerate(self.rng.choice(len(groups), steps, p=mass.sum(1) / mass.sum())):
             adam.rate = 0.01 * (1 - step / steps) + 0.0005
-            chosen = np.concatenate([self.rng.choice(high, batch // 2, p=p_high / p_high.sum()), self.rng.choice(low, batch // 2, p=p_low / p_low.sum())])
-            y = np.repeat([1.0, 0.0], batch // 2)
-            grads: dict = {}
-            for size in np.unique(lengths[chosen]).tolist():
-                own = lengths[chosen] == size
-                ids = classes[starts[chosen[own]][:, None] + np.arange(size)]
-                logit, _, cache = self.chars.forward(self.letters, ids, keep=True)
-                d = ((_sigmoid(logit) - y[own]) / batch).astype(np.float32)
-                g, d_in = self.chars.backward(ids, d, cache)
-                onehot = np.eye(CLASSES, dtype=np.float32)[ids.T.reshape(-1)]
-                g["letters"] = onehot.T @ d_in.reshape(-1, d_in.shape[-1])
-                for k, v in g.items():
-                    grads[k] = grads.get(k, 0) + v
+            size, n_high = sizes[at], round(batch * mass[at, 0] / mass[at].sum())
+            chosen = np.concatenate([self.rng.choice(part, k, p=weight[part] / weight[part].sum()) for part, k in zip(groups[at], (n_high, batch - n_high)) if k])
+            y = np.repeat([1.0, 0.0], [n_high, batch - n_high])
+            ids = classes[starts[chosen][:, None] + np.arange(size)]
+            logit, _, cache = self.chars.forward(self.letters, ids, keep=True)
+            grads, d_in = self.chars.backward(ids, ((_sigmoid(logit) - y) / batch).astype(np.float32), cache)
+            onehot = np.eye(CLASSES, dtype=np.float32)[ids.T.reshape(-1)]
+            grads["letters"] = onehot.T @ d_in.reshape(-1, d_in.shape[-1])
             adam.step(params, grads)
 
     def _fit_words(self, vectors, buckets, docs, toxic, epochs, batch=128):
@@ -337,32 +337,49 @@ class Model:
         self.slope, self.level = float(max(w[0], 0) / spread), float(w[1] - max(w[0], 0) * mean / spread)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_toxic: int, fit_clean: int, fit_chars: int) -> list:
+    """(text, toxic) of at most fit_toxic and fit_clean ids, one text each. Ids are chosen among the labels alone, by hash; of docs only their rows
+    leave their tasks, so no text is shuffled to find the sample. labels: doc_id, toxic."""
+    marked = labels.filter("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).filter("doc_id is not null")
+    n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    ids = [(r["doc_id"], r["toxic"]) for kind, most in ((True, fit_toxic), (False, fit_clean)) for r in smallest_by_hash(marked.filter(F.col("toxic") == kind), ["doc_id"], most, n.get(kind, 0))]
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic boolean")  # fit_toxic + fit_clean rows at most
+    known = docs.filter(F.length("text") <= fit_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return known.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("first.text", "toxic").orderBy(F.desc("toxic"), F.xxhash64("doc_id")).collect()
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_toxic: int, fit_clean: int, fit_chars: int, hidden: int, window: int, char_steps: int, word_epochs: int, seed: int) -> Model | None:
-    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
-    known = docs.filter(F.length("text") <= fit_chars).join(marked, "doc_id").select("doc_id", "text", "toxic")
-    n_toxic, n_clean = marked.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
-    pick = lambda kind, n, total: [r["text"] for r in smallest_by_hash(known.filter(kind), ["doc_id"], n, total)]
-    toxic, clean = pick("toxic > 0", fit_toxic, n_toxic), pick("toxic <= 0", fit_clean, n_clean)
-    if not toxic or not clean:
+    sample = labelled_sample(docs, labels, fit_toxic, fit_clean, fit_chars)
+    texts, toxic = [r["text"] for r in sample], np.array([float(r["toxic"]) for r in sample])
+    if not 0 < toxic.sum() < len(toxic):
         return None
     model = Model(hidden, window, seed)
-    model.fit(toxic + clean, np.repeat([1.0, 0.0], [len(toxic), len(clean)]), char_steps, word_epochs)
+    model.fit(texts, toxic, char_steps, word_epochs)
     return model
 
 
-def score_toxicity(
-    docs: DataFrame, training: DataFrame, labels: DataFrame, cut: float = 0.7, fit_toxic: int = 1500, fit_clean: int = 4500, fit_chars: int = 20_000,
-    hidden: int = 8, window: int = 32, char_steps: int = 1500, word_epochs: int = 6, seed: int = 5, key: str | None = None,
-) -> DataFrame:
-    """doc_id, score and predicted for each row of docs (doc_id, text); learned from the rows of training that labels (doc_id, toxic) mark. key: a column of longs to return too."""
-    own = [key] if key else []
-    model = docs.sparkSession.sparkContext.broadcast(train(training.select("doc_id", "text"), labels, fit_toxic, fit_clean, fit_chars, hidden, window, char_steps, word_epochs, seed))
+PARAMETERS = {"fit_toxic": 1500, "fit_clean": 4500, "fit_chars": 20_000, "hidden": 8, "window": 32, "char_steps": 1500, "word_epochs": 6, "seed": 5}
+
+
+def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, cut: float = 0.7, **parameters: int) -> DataFrame:
+    """doc_id, score and predicted for each row of docs (doc_id, text); learned from the rows of training (doc_id, text) that labels (doc_id, toxic) mark."""
+    model = docs.sparkSession.sparkContext.broadcast(train(training, labels, **PARAMETERS | parameters))
 
     def make():
         def apply(rows):
-            scores = model.value.scores(rows["text"]) if model.value else [0.0] * len(rows["text"])
-            return {"doc_id": rows["doc_id"], "score": scores, "predicted": [int(s >= cut) for s in scores]} | {k: rows[k] for k in own}
+            scores = scores_of(model.value, rows["text"])
+            return {"doc_id": rows["doc_id"], "score": scores, "predicted": [int(s >= cut) for s in scores]}
 
         return apply
 
-    return map_batches(docs.select("doc_id", "text", *own), make, "doc_id long, score double, predicted int" + "".join(f", {k} long" for k in own))
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, score double, predicted int")
+
+
+def clean_rows(docs: DataFrame, training: DataFrame, labels: DataFrame, cut: float = 0.7, **parameters: int) -> DataFrame:
+    """The rows of docs that score_toxicity doesn't call toxic, with all their columns. Each row is judged where it lies: none is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(train(training, labels, **PARAMETERS | parameters))
+    return filter_rows(docs, "text", lambda: lambda texts: np.array(scores_of(model.value, texts.to_pylist())) < cut)
+
+
+def scores_of(model: Model | None, texts: list[str | None]) -> list[float]:
+    return model.scores(texts) if model else [0.0] * len(texts)
