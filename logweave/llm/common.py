@@ -80,6 +80,28 @@ def may_be_in(keys: DataFrame, key: str, bits: int = 23):
     return pandas_udf(found, "boolean", 200)(place(key))
 
 
+HOT = 1000
+
+
+def hot_keys(counted: DataFrame) -> DataFrame | None:
+    """Of counted (key, n), the keys of more than 1 / HOT of all rows, so at most HOT of them; checkpointed. None if there is none, or too few rows to care."""
+    key, n = counted.columns
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    if total < 100 * HOT:
+        return None
+    found = cut_lineage(counted.filter(F.col(n) > total / HOT).select(key))
+    return None if found.isEmpty() else found
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with table (one row a key), inner or left. Rows of hot keys meet their rows of table by broadcast, so that no task gets all rows of a key."""
+    if hot is None:
+        return rows.join(table, key, how)
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))  # HOT rows at most
+    there = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return there.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
+
+
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow with lists: make() is called once a task and returns a function from a dict of lists to a dict of lists."""
 

@@ -5,18 +5,20 @@ a Hamming distance of at most radius are linked, and the classes are the connect
 
 1. Tasks compute fingerprints; equal ones become one row, which keeps the smallest doc_id.
 2. Shards: the 64 bits fall into radius + 2 blocks. Two fingerprints within the radius agree on two whole blocks at
-   least, so each fingerprint goes to the shard of every pair of blocks (6 shards of 32 agreeing bits for radius 2).
+   least, so each fingerprint goes to the shard of every pair of blocks (6 shards of 32 agreeing bits for radius 2). A shard
+   of more than SHARD_ROWS fingerprints is dealt out once more, by pairs of smaller blocks of its other bits, by the same
+   argument: what comes of it agrees on 48 bits, and so holds at most 65,536 of the distinct fingerprints, whatever the corpus.
 3. A task builds a shard's BK-tree in memory (children keyed by their distance to the parent), follows only the edges
    within the radius, and joins what it finds in a union-find. It emits a link from each fingerprint to the smallest
-   one of its component in the shard, so a shard of n fingerprints gives less than n links.
-   A shard that is too large for one tree is split by pairs of smaller blocks of its other bits, by the same argument.
-   Trees live in the task that owns the shard; nothing of the size of the corpus is broadcast.
-4. Connected components of the links: hooking to the smallest neighbour and contracting, checkpointed.
-5. Documents get the class of their fingerprint by (fingerprint, salt): a class has a row for each salt that occurs, so a
-   fingerprint that a third of all documents share is joined by many tasks.
+   one of its component in the shard, so a shard of n fingerprints gives less than n links. Shards too large for one tree
+   are split further inside the task. Trees live in the task that owns the shard; nothing of the size of the corpus is broadcast.
+4. Connected components of the links: each round hooks every node to its smallest neighbour, jumps along the hooks to
+   their roots, and contracts the edges; checkpointed.
+5. Documents get the class of their fingerprint. Fingerprints, components and nodes that many rows share are joined by
+   broadcast; since they are those above a share of all rows, there are at most HOT of them.
 
 A null or empty text has fingerprint zero, which is linked like any other. A null doc_id is kept and sorts behind all
-others. Repeated rows come back once each. Other columns aren't read.
+others. Repeated rows come back once each. Other columns aren't read. An empty table gives an empty result.
 """
 
 from itertools import combinations
@@ -25,31 +27,38 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches
+from .common import cut_lineage, hot_keys, join_hot, map_batches
 
 TREE_SIZE = 3000
-SALTS = 64
+SHARD_ROWS = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """ASCII letters lowered; words are cut at ASCII white space; shingles count as often as they occur."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included. ASCII letters lowered; words are cut at ASCII white space; fewer words are one shingle."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(1, len(words) - shingle + 1)
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.array([hash64(line[a:b], 42) for a, b in zip(starts[:last].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64)
+    return np.array([hash64(line[a:b], 42) for a, b in zip(starts[:last].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def make():
         def apply(rows):
@@ -131,106 +140,108 @@ def link_shard(values: list[int], free: list[int], radius: int, classes: Classes
             classes.join(x, near)
 
 
-def _shard_links(radius: int):
-    masks = _blocks(list(range(64)), radius)
-
-    def links_of(block: int, values: np.ndarray) -> list[tuple[int, int]]:
-        classes = Classes()
-        link_shard(values.tolist(), [b for b in range(64) if not masks[block] >> b & 1], radius, classes)
-        return [(x, classes.find(x)) for x in list(classes.parent) if classes.find(x) != x]
-
-    def make():
-        held = [None, []]  # the shard that the end of a batch cut
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-        def apply(rows):
-            out = {"a": [], "b": []}
-            keys = list(zip(rows["block"], rows["shard"]))
-            start = 0
-            for i in range(len(keys) + 1):
-                if i < len(keys) and keys[i] == keys[start]:
-                    continue
-                if i > start:
-                    key, own = keys[start], rows["fp"][start:i]
-                    if held[0] == key:
-                        held[1] += own
-                    else:
-                        _emit(out)
-                        held[:] = [key, own]
-                start = i
-            return out
-
-        def _emit(out):
-            if len(held[1]) > 1:
-                for x, root in links_of(held[0][0], np.array(held[1], np.int64).view(np.uint64)):
-                    out["a"].append(x)
-                    out["b"].append(root)
-
-        def last():
-            out = {"a": [], "b": []}
-            _emit(out)
-            return out
-
-        apply.last = last
-        return apply
 
-    return make
+def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """Each row once for each mask: mask (the bits that a shard agrees on), shard (their values), fp."""
+    keys = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard")) for m in masks])
+    return rows.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.shard", "fp")
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b), a > b as unsigned numbers, whose components are those of all pairs within the radius. distinct: fp long."""
+def links(distinct: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b), a > b as unsigned numbers, whose components are those of all pairs within the radius. distinct: fp long, without repeats."""
     import pyarrow as pa
 
     masks = _blocks(list(range(64)), radius)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("shard")) for i, m in enumerate(masks)])
-    sharded = distinct.select("fp", F.explode(keys).alias("k")).select("k.block", "k.shard", "fp")
-    dealt = sharded.repartition("block", "shard").sortWithinPartitions("block", "shard", "fp")
+    shards = _dealt(distinct, masks)
+    sizes = shards.groupBy("mask", "shard").agg(F.count("*").alias("n"))
+    most = max(shard_rows, distinct.count() * len(masks) // 10_000)
+    large = cut_lineage(sizes.filter(F.col("n") > most).select("mask", "shard"))  # 10,000 rows at most
+    if not large.isEmpty():
+        whole = shards.join(F.broadcast(large), ["mask", "shard"], "left_anti")
+        parts = [whole.select("mask", "shard", "fp")]
+        for m in masks:
+            own = shards.filter(F.col("mask") == _signed(m)).join(F.broadcast(large), ["mask", "shard"], "left_semi")
+            parts.append(_dealt(own.select("fp"), [m | x for x in _blocks([b for b in range(64) if not m >> b & 1], radius)]))
+        shards = parts[0]
+        for p in parts[1:]:
+            shards = shards.union(p)
+    dealt = shards.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def links_of(mask: int, values: np.ndarray) -> list[tuple[int, int]]:
+        classes = Classes()
+        link_shard(values.view(np.uint64).tolist(), [b for b in range(64) if not mask >> b & 1], radius, classes)
+        return [(x, top) for x in list(classes.parent) if (top := classes.find(x)) != x]
+
     def run(batches):
-        apply = _shard_links(radius)()
+        held, own = None, []  # the shard that is being read, which batches may cut
         for batch in batches:
-            yield _record(apply(batch.to_pydict()), schema)
-        yield _record(apply.last(), schema)
+            mask, shard, fp = (batch.column(i).to_numpy() for i in range(3))
+            cuts = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (shard[1:] != shard[:-1])) + 1).tolist(), len(fp)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x < y and (mask[x], shard[x]) != held:
+                    if sum(map(len, own)) > 1:
+                        yield _record(links_of(int(held[0]), np.concatenate(own)), schema)
+                    held, own = (mask[x], shard[x]), []
+                own.append(fp[x:y].copy())
+        if sum(map(len, own)) > 1:
+            yield _record(links_of(int(held[0]), np.concatenate(own)), schema)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _record(out: dict, schema):
+def _record(found: list[tuple[int, int]], schema):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(np.array(out[k], np.uint64).view(np.int64)) for k in ("a", "b")], schema=schema)
+    values = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1])], schema=schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp for every node of edges (a, b); comp is the smallest node of its component.
 
-    Each round hooks every node to its smallest neighbour, if that is smaller, follows one more hook, and contracts the edges. What
-    is left shrinks by a factor, so the rounds are about the logarithm of the nodes, whatever the length of the paths.
+    Each round hooks every node to its smallest neighbour, if that is smaller, and jumps along hooks until all lead to roots: as each
+    jump doubles the way, a path of n nodes takes about log2(n) jumps. Contracting leaves edges between roots alone, so every round
+    at least halves the nodes that still have edges. A node that many edges share is joined by broadcast.
     """
-    edges = cut_lineage(edges.select("a", "b"))
+    edges = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
     labels = edges.select("a").union(edges.select("b")).distinct().toDF("node").withColumn("comp", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        hooks = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("up"))
-        hooks = cut_lineage(hooks.join(hooks.toDF("up", "top"), "up").select("node", "top"))
-        labels = cut_lineage(labels.join(hooks.toDF("comp", "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
-        contracted = edges.join(hooks.toDF("a", "x"), "a").join(hooks.toDF("b", "y"), "b").filter("x <> y")
+        near = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("top"), F.count("*").alias("n")))
+        hot = hot_keys(near.select("node", "n"))
+        hooks = near.select("node", "top")
+        while True:
+            held = hot_keys(hooks.groupBy("top").agg(F.count("*").alias("n")))
+            ways = hooks.toDF("top", "further")
+            jumped = join_hot(hooks, ways, "top", held).select("node", F.col("further").alias("top"), (F.col("further") != F.col("top")).alias("moved"))
+            jumped = cut_lineage(jumped)
+            hooks = jumped.select("node", "top")
+            if jumped.filter("moved").isEmpty():
+                break
+        held = hot_keys(labels.groupBy("comp").agg(F.count("*").alias("n")))
+        labels = cut_lineage(join_hot(labels, hooks.toDF("comp", "top"), "comp", held, "left").select("node", F.coalesce("top", "comp").alias("comp")))
+        contracted = join_hot(join_hot(edges, hooks.toDF("a", "x"), "a", hot), hooks.toDF("b", "y"), "b", hot).filter("x <> y")
         edges = cut_lineage(contracted.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     return labels
 
 
+def _as_long(fingerprint) -> "F.Column":
+    """The number that 16 hexadecimal digits write, as a signed long."""
+    high = lambda x, y: F.conv(F.substring(fingerprint, x, y), 16, 10).cast("long")
+    return F.shiftleft(high(1, 8), 32).bitwiseOR(high(9, 8))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id of the component, for each row of docs (doc_id, text)."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
-    prints = cut_lineage(fingerprints(docs, shingle).select("doc_id", "fingerprint", salt))
-    number = F.when(F.substring("fingerprint", 1, 1) < "8", F.conv("fingerprint", 16, 10).cast("long")).otherwise(
-        F.conv(F.concat(F.conv(F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int") - 8, 10, 16), F.substring("fingerprint", 2, 15)), 16, 10).cast("long") + F.lit(-(1 << 63))
-    )
-    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.collect_set("salt").alias("salts")).withColumn("fp", number))
+    prints = cut_lineage(fingerprints(docs, shingle))
+    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("fp", _as_long("fingerprint")))
     comps = components(links(distinct.select("fp"), radius))
-    linked = distinct.join(comps, distinct["fp"] == comps["node"])
-    tops = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
-    linked = linked.join(tops, "comp").select("fingerprint", "component_id")
-    classes = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.explode("salts").alias("salt"), F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(classes, ["fingerprint", "salt"]).select("doc_id", "fingerprint", "component_id")
+    linked = cut_lineage(distinct.join(comps.toDF("fp", "comp"), "fp").select("fingerprint", "comp", "first"))
+    tops = linked.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    linked = join_hot(linked, tops.select("comp", "component_id"), "comp", hot_keys(tops.select("comp", "n"))).select("fingerprint", "component_id")
+    classes = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
+    return join_hot(prints, classes, "fingerprint", hot_keys(distinct.select("fingerprint", "n"))).select("doc_id", "fingerprint", "component_id")
