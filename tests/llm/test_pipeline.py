@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from logweave.llm import quality, simhash
+from logweave.llm import quality
 from logweave.llm.common import table
 from pyspark.sql import functions as F
 
@@ -14,7 +14,8 @@ def test_pipeline_applies_its_stages_to_all_that_came_before(spark):
     kept = {r["doc_id"] for r in quality.quality_rules(docs, table(spark, SMALL, "labels")).collect() if r["kept"]}
     assert {r["doc_id"] for r in good.collect()} == kept and good.columns == docs.columns
     single = corpus_pipeline.near_duplicates(spark, good, SMALL)
-    assert {r["doc_id"] for r in single.collect()} == {r["component_id"] for r in simhash.near_duplicates(good).collect()}
+    rows = sorted(good.select("doc_id", "text").collect())
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted({rows[t]["doc_id"] for t in brute_groups([r["text"] for r in rows])})
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in single.collect()}
     room = {}
@@ -23,12 +24,6 @@ def test_pipeline_applies_its_stages_to_all_that_came_before(spark):
     assert max(room.values()) <= 4096
 
 
-def test_ids_are_kept_once_and_null_ids_meet(spark):
-    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (1, "d")], "doc_id long, text string")
-    ids = spark.createDataFrame([(1,), (None,), (1,)], "doc_id long")
-    assert sorted(r["text"] for r in corpus_pipeline.keep_by_id(docs, ids).collect()) == ["a", "b", "d"]
-
-
 def brute_groups(texts):
     """Components of all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     sets = []
@@ -77,10 +72,20 @@ def test_stages_decide_by_row_not_by_id(spark):
 
 
 def test_toxicity_decides_by_row_not_by_id(spark, monkeypatch):
-    def by_word(docs, *others, key):
-        return docs.select("doc_id", F.col("text").contains("bad").cast("int").alias("predicted"), key)
-
-    monkeypatch.setattr(corpus_pipeline.toxicity, "score_toxicity", by_word)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda *a, **k: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scores_of", lambda model, texts: [float("bad" in t) for t in texts])
     rows = [(None, "fine"), (None, "bad"), (1, "bad"), (1, "fine too"), (2, "bad")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["text"] for r in corpus_pipeline.toxicity_filter(spark, docs, SMALL).collect()) == ["fine", "fine too"]
+
+
+def test_stages_pass_clashing_columns_and_empty_tables(spark):
+    names = ("h1", "h2", "row", "set", "top", "id", "x1", "stays", "suspect", "features", "kept", "kept_id", "score", "predicted", "row_key", "salt", "n", "fp")
+    docs = table(spark, SMALL, "documents").withColumns({n: F.lit(f"own {n}") for n in names})
+    rows = docs.union(docs.filter("doc_id % 10 = 0")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, rows, SMALL)
+        assert found.columns == docs.columns and found.filter(" or ".join(f"{n} <> 'own {n}'" for n in names)).count() == 0
+        assert found.count() > 0 and stage(spark, docs.limit(0), SMALL).count() == 0
+        assert len({(r["doc_id"], r["text"]) for r in found.collect()}) == (found.count() if stage is corpus_pipeline.near_duplicates else found.select("doc_id", "text").distinct().count())
+    assert corpus_pipeline.best_fit_packing(spark, rows, SMALL).filter("piece = 0").count() == rows.count()
