@@ -1,52 +1,33 @@
 """A corpus pipeline of four stages. Each works on all that the one before it kept, and returns the columns of documents; the last packs."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logweave.llm import near_copies, packing, quality, toxicity
-from logweave.llm.common import cut_lineage, held_out, may_be_in, table
+from logweave.llm.common import cut_lineage, held_out, table
 
 #: Neither a forest, nor a network, nor XXH64 fingerprints, nor a plan for packing can be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def keep_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (doc_id, without repeats); null ids match each other."""
-    kept = ids.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
-def with_row_keys(docs: DataFrame) -> DataFrame:
-    """docs with a unique row_key; checkpointed, so that the keys stay what they are."""
-    return cut_lineage(docs.withColumn("row_key", F.monotonically_increasing_id()))
-
-
-def keep_rows(keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of keyed whose row_key is in kept, without their keys."""
-    dropped = cut_lineage(keyed.select("row_key").join(kept.select("row_key"), "row_key", "left_anti"))
-    keyed = keyed.withColumn("suspect", may_be_in(dropped, "row_key"))
-    stays = keyed.filter("not suspect").union(keyed.filter("suspect").join(dropped, "row_key", "left_anti").select(keyed.columns))
-    return stays.drop("row_key", "suspect")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = with_row_keys(docs)
-    found = quality.quality_rules(keyed, table(spark, sf_dir, "labels"), key="row_key")
-    return keep_rows(keyed, found.filter("kept"))
+    """The rows that the base rules and the forest keep. Rows are judged one by one: repeated ids, null ids and null texts are like any others."""
+    return quality.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = with_row_keys(docs)
-    found = toxicity.score_toxicity(keyed, keyed.filter(~held_out("doc_id", 3, 1)), table(spark, sf_dir, "labels"), key="row_key")
-    return keep_rows(keyed, found.filter("predicted = 0"))
+    """The rows that aren't predicted toxic, judged one by one; learned from the rows of docs that aren't held out. Texts without words stay."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 3, 1))
+    return toxicity.clean_rows(docs, docs.filter(~held_out("doc_id", 3, 1)), labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = with_row_keys(docs)
-    return keep_rows(keyed, near_copies.first_of_copies(keyed))
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more. Rows that agree in doc_id and text are one
+    document; null and empty texts are copies of each other, and one of them stays."""
+    return near_copies.without_near_copies(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows and their places in sequences, as packing.pack gives them. Repeated rows are packed each; null texts have the end id alone."""
     return packing.pack(docs)
 
 
