@@ -1,19 +1,22 @@
 """Operator 4: exact top-k search by inner product, with no-random-access aggregation.
 
-Vectors become integers. The dimensions fall into groups, and for every query each group ranks a shard's candidates by
-their partial score: these are the sorted lists. Lists are read from the top, to the same depth at a time. A candidate
-seen in some lists has a lower bound (its partial scores there, and the least of the other lists) and an upper bound (its
-partial scores there, and what the other lists have reached). Reading stops when the bound of an unseen candidate, the sum
-of what the lists have reached, is below the k-th lower bound so far, or below what k rows of a bounded sample are known to
-score. Then the candidates whose upper bound reaches that threshold get their final scores. Candidates that tie with the
-threshold are never dropped, so ties go to the smaller vec_id.
+Vectors become integers. A shard sorts its rows by each component, once for all queries. For a query each of these lists, read from the
+one end or the other by the sign of the query's component, has the contributions to the score in falling order. All lists are read in
+sequence, to the same depth at a time. A row has an upper bound: its contributions read so far, and what the other lists
+have reached; and a lower bound: these contributions, and the least of the other lists. The threshold is the k-th lower bound so
+far, or what is known from other shards. Where nothing is known, lists are read from their worst ends too, which raises lower bounds.
 
-Candidates are dealt to shards by hash, queries to every shard in blocks: the query set is a stated part of the table and
-meets every row once. Each shard gives at most k rows a query, which a window per query merges.
+Reading stops when outsiders can't qualify: when the rows whose upper bound reaches the threshold, unseen ones included, are few (4 * k, or
+every 64th row), or the lists end. Only then are these rows' final scores resolved, from their vectors; no such access decides
+what is read or when reading stops. Rows that tie with the threshold are never dropped, so ties go to the smaller vec_id.
+
+Candidates are dealt to shards by hash; the query set is a stated part of the table and meets every row once, in blocks. Shards
+are searched in rounds, each of ROUND times as many shards as the one before; the k-th best score of the rounds so far is the threshold that a query brings to
+the next. So shards give few rows beyond the k best, however many shards there are.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids. Vectors of different
-lengths don't meet. Rows with the query's own vec_id aren't candidates; other repeated rows each are. Other columns
-aren't read.
+lengths don't meet. Rows with the query's own vec_id aren't candidates; other repeated rows each are. Each row of queries is a query, repeated
+ones too. Other columns aren't read. An empty table gives an empty result.
 """
 
 import numpy as np
@@ -21,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, smallest_by_hash
+from .common import cut_lineage
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+ROUND = 8
+#: Shares of the lists that are read before bounds are compared.
+DEPTHS = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+_FOUND = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -40,43 +46,71 @@ def _exact_type(values: np.ndarray):
 
 
 class Shard:
-    def __init__(self, ids: np.ndarray, values: np.ndarray, groups: int):
+    """The rows of a shard, and for each dimension a list of them sorted by their component; made once, for all queries."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")  # so that a stable order by score goes to the smaller vec_id
         self.ids, self.values = ids[order], values[order]
-        self.parts = np.array_split(np.arange(values.shape[1]), min(groups, values.shape[1]))
+        self.kind = None
+        self.read = self.resolved = 0  # entries of lists, and what was resolved at the end
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int):
-        """(query_id, vec_id, score) of the k best of each query, and of no others that a threshold rules out."""
+    def search(self, asks: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int):
+        """(ask, query_id, vec_id, score) of the k best of each query, and of no others that a threshold rules out."""
         kind = _exact_type(np.concatenate([self.values, queries]))
-        lists = [queries[:, p].astype(kind) @ self.values[:, p].astype(kind).T for p in self.parts]
+        if self.kind is not kind:
+            self.kind, self.exact = kind, self.values.astype(kind)
+            self.rows = np.argsort(self.values.T, 1, kind="stable")
+            self.sorted = np.take_along_axis(self.values.T.astype(float), self.rows, 1)
+        for ask, own_id, query, least in zip(asks.tolist(), query_ids.tolist(), queries, thresholds.tolist()):
+            for row, score in self._best(query, own_id, least, k):
+                yield ask, own_id, int(self.ids[row]), int(score)
+
+    def _entries(self, query: np.ndarray, up: np.ndarray, down: np.ndarray, a: int, b: int):
+        """What lies from the a-th to the b-th place of the lists up, read from their greatest component on, and of the lists down, from their least: rows and contributions, list by list."""
         n = len(self.ids)
-        for i, (own_id, least) in enumerate(zip(query_ids.tolist(), thresholds.tolist())):
-            own = [x[i] for x in lists]
-            for j in self._qualified(own, own_id, least, k, n):
-                yield own_id, int(self.ids[j[0]]), int(j[1])
-
-    def _qualified(self, lists, own_id: int, threshold: float, k: int, n: int):
-        lowest = [x.min() for x in lists]
-        depth = min(n, max(4 * k, n // 16))
-        while True:
-            # The lists down to depth; reached[g] is the last value read, and all ties with it count as read.
-            reached = [np.partition(x, n - depth)[n - depth] if depth < n else low for x, low in zip(lists, lowest)]
-            read = [x >= r for x, r in zip(lists, reached)]
-            lower = sum(np.where(s, x, low) for x, s, low in zip(lists, read, lowest))
-            lower = lower[self.ids != own_id]
-            known = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            threshold = max(threshold, known)
-            if depth >= n or sum(reached) < threshold:
+        self.read += (len(up) + len(down)) * (b - a)
+        rows = np.concatenate([self.rows[up, n - b : n - a].ravel(), self.rows[down, a:b].ravel()])
+        return rows, np.concatenate([(self.sorted[up, n - b : n - a] * query[up, None]).ravel(), (self.sorted[down, a:b] * query[down, None]).ravel()])
+
+    def _best(self, query: np.ndarray, own_id: int, threshold: float, k: int):
+        n, rough = len(self.ids), query.astype(float)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        both = threshold == -np.inf  # the worst ends, which give lower bounds, are read where no threshold is known
+        alive = self.ids != own_id
+        sums, done = np.zeros(n), 0
+        seen: list[tuple[np.ndarray, np.ndarray]] = []  # rows, and the lists in which they were seen
+        for share in DEPTHS:
+            depth = int(np.ceil(share * n / (1 + both)))
+            for best in (True, False)[: 1 + both]:
+                end = depth if best else min(depth, n - depth)  # the ends don't overlap
+                if end > done:
+                    rows, parts = self._entries(rough, *((up, down) if best else (down, up)), done, end)
+                    sums += np.bincount(rows, parts, n)
+                    seen.append((rows, np.repeat(np.concatenate([up, down] if best else [down, up]), end - done)))
+            done = depth
+            last = depth >= n or both and 2 * depth >= n
+            greatest, least = self.sorted[:, n - 1 - min(depth, n - 1)], self.sorted[:, min(depth, n - 1)]
+            high = np.where(query > 0, greatest, least) * rough
+            low = (np.where(query > 0, least, greatest) if both else np.where(query > 0, self.sorted[:, 0], self.sorted[:, -1])) * rough
+            seen_of = lambda bound: sum(np.bincount(rows, bound[lists], n) for rows, lists in seen)
+            room = 1e-9 * (np.abs(high).sum() + np.abs(low).sum() + np.abs(sums)) + 1e-3
+            upper = sums + room + high.sum() - seen_of(high)
+            if both or last:
+                lower = (sums - room + low.sum() - seen_of(low))[alive]
+                if len(lower) >= k:
+                    threshold = max(threshold, np.partition(lower, len(lower) - k)[len(lower) - k])
+            alive &= upper >= threshold
+            if last or alive.sum() <= max(4 * k, n // 64):
                 break
-            depth = min(n, 2 * depth)
-        seen = np.logical_or.reduce(read)
-        upper = sum(np.where(s, x, r) for x, s, r in zip(lists, read, reached))
-        left = np.flatnonzero(seen & (upper >= threshold) & (self.ids != own_id))
-        final = sum(x[left] for x in lists)
-        good = final >= threshold
-        left, final = left[good], final[good]
+            if 2 * alive.sum() < n:  # what can't qualify isn't summed again
+                seen = [(rows[alive[rows]], lists[alive[rows]]) for rows, lists in seen]
+        rows = np.flatnonzero(alive)  # none but these can qualify
+        self.resolved += len(rows) * (len(up) + len(down))
+        final = self.exact[rows] @ query.astype(self.kind)
+        enough = final >= threshold - 1e-3 - 1e-9 * abs(threshold) if np.isfinite(threshold) else np.ones(len(rows), bool)
+        rows, final = rows[enough], final[enough]
         best = np.argsort(-final, kind="stable")[:k]
-        return zip(left[best].tolist(), final[best].tolist())
+        return zip(rows[best].tolist(), final[best].tolist())
 
 
 def _blocks(rows: pa.Table):
@@ -85,77 +119,76 @@ def _blocks(rows: pa.Table):
     return rows["vec_id"].to_numpy(), values.values.to_numpy().reshape(-1, width)
 
 
-def sample_thresholds(queries: DataFrame, sample: list, k: int) -> DataFrame:
-    """With each query, the k-th best score that it has in the sample: a lower bound of its k-th best score at all."""
-    by_width: dict = {}
-    for r in sample:
-        by_width.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
-    held = queries.sparkSession.sparkContext.broadcast({w: (np.array([i for i, _ in x]), np.array([v for _, v in x])) for w, x in by_width.items()})
-
-    def run(batches):
-        for batch in batches:
-            least = []
-            for own_id, v in zip(batch["vec_id"].to_pylist(), batch["v"]):
-                ids, values = held.value.get(len(v), (np.zeros(0, int), np.zeros((0, len(v)), int)))
-                q = v.values.to_numpy()
-                kind = _exact_type(np.concatenate([values, q[None]]))
-                scores = (values.astype(kind) @ q.astype(kind))[ids != own_id].astype(float)
-                least.append(float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(least, pa.float64())], names=["vec_id", "v", "least"])
-
-    return queries.mapInArrow(run, "vec_id long, v array<long>, least double")
+def shards_for(rows: int) -> int:
+    """Shards of about 4,096 rows up to 64 shards; beyond, of up to 65,536 rows, as queries are sent to each."""
+    return max(1, min(rows // 4096, 64), -(-rows // 65_536))
 
 
-def shards_for(rows: int) -> int:
-    """Shards of about 1,024 rows up to 64 shards; beyond, of up to 65,536 rows, as queries are sent to each."""
-    return max(1, min(rows // 1024, 64), -(-rows // 65_536))
+def rounds_of(shards: int) -> list[tuple[int, int]]:
+    """Ranges of shards, each ROUND - 1 times as long as all before."""
+    out, done = [], 0
+    while done < shards:
+        upto = min(shards, max(1, done * ROUND))
+        out.append((done, upto))
+        done = upto
+    return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, groups: int = 4, sample_rows: int = 2048, block: int = 256) -> DataFrame:
-    """query_id, rank, vec_id and score: for each row of queries the k best rows of vectors (both: vec_id, embedding)."""
-    spark = vectors.sparkSession
-    candidates = cut_lineage(integers(vectors, scale))
-    count = candidates.count()
-    n = shards_for(count)
-    sample = smallest_by_hash(candidates, ["vec_id"], sample_rows, count)
-    asked = sample_thresholds(integers(queries, scale), sample, k)
+def _search_round(candidates: DataFrame, asked: DataFrame, first: int, last: int, k: int, block: int, n_asked: int) -> DataFrame:
+    """ask, query_id, vec_id and score of what the shards first to last - 1 give. asked: ask, vec_id, v, least."""
+    workers = candidates.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(-(-2 * workers // (last - first)), -(-n_asked // block)))
+    every = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
     width = F.size("v").alias("width")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")
-    both = candidates.select(width, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("least"))
-    both = both.unionByName(asked.select(width, every, F.lit(True).alias("asks"), "vec_id", "v", "least"))
-    dealt = both.repartition(min(max(n, spark.sparkContext.defaultParallelism), 4096), "width", "shard").sortWithinPartitions("width", "shard", "asks", "vec_id")
+    held = candidates.filter((F.col("shard") >= first) & (F.col("shard") < last)).withColumn("block", every(0, blocks))
+    held = held.select(width, "shard", "block", F.lit(False).alias("asks"), "vec_id", "v", F.lit(0).cast("long").alias("ask"), F.lit(0.0).alias("least"))
+    asking = asked.withColumn("block", F.pmod("ask", F.lit(blocks)).cast("int")).withColumn("shard", every(first, last))
+    both = held.unionByName(asking.select(width, "shard", "block", F.lit(True).alias("asks"), "vec_id", "v", "ask", "least"))
+    dealt = both.repartition(min(max(2 * (last - first) * blocks, workers), 8192), "width", "shard", "block").sortWithinPartitions("width", "shard", "block", "asks", "vec_id")
 
     def run(batches):
         shard, key, waiting = None, None, []
-
-        def build():
-            ids, values = zip(*[_blocks(t) for t in waiting])
-            return Shard(np.concatenate(ids), np.concatenate(values), groups)
-
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            keys = np.stack([rows[c].to_numpy() for c in ("width", "shard", "asks")], 1).astype(int)
+            keys = np.stack([rows[c].to_numpy() for c in ("width", "shard", "block", "asks")], 1).astype(int)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                part, (w, s, asks) = rows.slice(a, b - a), keys[a].tolist()
-                if (w, s) != key:
-                    shard, key, waiting = None, (w, s), []
+                part, (*tile, asks) = rows.slice(a, b - a), keys[a].tolist()
+                if tile != key:
+                    shard, key, waiting = None, tile, []
                 if not asks:
-                    waiting.append(part)
+                    waiting.append(_blocks(part))
                     continue
                 if shard is None:
                     if not waiting:
                         continue
-                    shard = build()
+                    shard = Shard(*map(np.concatenate, zip(*waiting)))
                 ids, values = _blocks(part)
-                least = part["least"].to_numpy()
+                numbers, least = part["ask"].to_numpy(), part["least"].to_numpy()
                 for i in range(0, len(ids), block):
-                    found = list(shard.search(ids[i : i + block], values[i : i + block], least[i : i + block], k))
+                    found = list(shard.search(numbers[i : i + block], ids[i : i + block], values[i : i + block], least[i : i + block], k))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_FOUND)
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(run, "ask long, query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block: int = 256) -> DataFrame:
+    """query_id, rank, vec_id and score: for each row of queries the k best rows of vectors (both: vec_id, embedding)."""
+    candidates = cut_lineage(integers(vectors, scale))
+    shards = shards_for(candidates.count())
+    candidates = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    asked = cut_lineage(integers(queries, scale).withColumn("ask", F.monotonically_increasing_id()))
+    n_asked, best = asked.count(), None
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    for first, last in rounds_of(shards):
+        known = asked.withColumn("least", F.lit(float("-inf")))
+        if best is not None:
+            kth = best.filter(F.col("rank") == k).select("ask", F.col("score").cast("double").alias("kth"))
+            known = asked.join(kth, "ask", "left").select("ask", "vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+        found = _search_round(candidates, known, first, last, k, block, n_asked)
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = cut_lineage(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return best.select("query_id", "rank", "vec_id", "score")
