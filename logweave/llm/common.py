@@ -49,6 +49,16 @@ def smallest_by_hash(rows: DataFrame, keys: list[str], n: int, total: int) -> li
         share *= 8
 
 
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch):
+    """Parts of a batch of about SLICE_BYTES, so that what Python makes of one doesn't grow with the length of the rows; a longer row is a part alone."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for i in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(i, rows)
+
+
 def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
     """The rows of df that stay, with all their columns. make() is called once a task and returns a function from an Arrow array of the column to a mask."""
     at = df.columns.index(column)
@@ -56,7 +66,9 @@ def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
     def run(batches):
         keep = make()
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 
@@ -108,9 +120,11 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         apply, wanted = make(), None
         for batch in batches:
-            out = apply(batch.to_pydict())
-            wanted = wanted or _arrow(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+            for part in slices(batch):
+                out = apply(part.to_pydict())
+                wanted = wanted or _arrow(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
