@@ -1,15 +1,16 @@
 """Operator 2: language identification by multinomial naive Bayes over hashed character n-grams.
 
 1. Training tasks lower-case whole texts, turn all that isn't a letter into single spaces, hash the n-grams of 1 to 4
-   characters into buckets with integer arithmetic in numpy, and add up counts by language and bucket. One map-side row
-   for each language and bucket is shuffled; the driver gets languages x buckets numbers.
-2. The matrix of log-probabilities (smoothed counts) is broadcast; its size doesn't depend on the corpus.
-3. Scoring tasks count the n-grams of each text and multiply the sparse counts with the matrix.
-
-The score is the posterior of the predicted language with log-likelihoods taken per character (so that long texts don't
-all reach 1). Texts that are null or have no letter are `und`, with score 0; so are all texts if nothing could be
+   characters into buckets with integer arithmetic in numpy, and add up counts by language and bucket, and texts by language. One map-side row
+   for each language and bucket is shuffled; the driver gets languages x (buckets + 1) numbers.
+2. The matrix of log-probabilities (smoothed counts) and the log-priors (shares of the texts) are broadcast; their size doesn't depend on the corpus.
+3. Scoring tasks hash the n-grams of many texts at once. Each text's n-grams are a sparse row of counts; rows meet the matrix by
+   gathering the matrix' rows and adding them up by text. Long texts are cut into parts of PART characters that lose no n-gram.
+
+The prediction is the language of the greatest posterior. The score is the posterior with log-likelihoods taken per character (so that
+long texts don't all reach 1) and the prior. Texts that are null or have no letter are `und`, with score 0; so are all texts if nothing could be
 learned. Ties go to the first language by name. Repeated rows come back once each and count as often in training; other columns
-aren't read.
+aren't read. An empty table gives an empty result.
 """
 
 import numpy as np
@@ -35,80 +36,108 @@ def letters(text: str) -> np.ndarray:
     return padded[~(gap & np.concatenate([[False], gap[:-1]]))]
 
 
-def grams(text: str, buckets: int, longest: int) -> np.ndarray:
-    """The bucket of every n-gram, 1 to longest characters."""
-    points = letters(text).astype(np.uint64)
-    out, hashed = [], np.zeros(len(points), np.uint64)
+def hashed(points: np.ndarray, buckets: int, longest: int):
+    """For n from 1 to longest, the bucket of the n-gram that starts at each place."""
+    value = np.zeros(len(points), np.uint64)
     for n in range(1, longest + 1):
         if len(points) < n:
-            break
-        hashed = hashed[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
-        mixed = hashed ^ (hashed >> np.uint64(29))
-        out.append(((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(buckets))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+            return
+        value = value[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
+        mixed = value ^ (value >> np.uint64(29))
+        yield n, (((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+PART, TOGETHER = 1 << 16, 1 << 18
+
+
+def parts_of(texts: list[str | None], longest: int):
+    """Batches of about TOGETHER characters: code points end to end, and for each part of a text (text number, start, end, end of the n-grams that may start in it)."""
+    points, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        own = letters(text or "").astype(np.uint64)
+        for a in range(0, len(own), PART):
+            piece = own[a : a + PART + longest - 1]
+            points.append(piece)
+            parts.append((i, size, size + len(piece), size + min(PART, len(piece))))
+            size += len(piece)
+            if size >= TOGETHER:
+                yield np.concatenate(points), np.array(parts)
+                points, parts, size = [], [], 0
+    if parts:
+        yield np.concatenate(points), np.array(parts)
+
+
+def grams(texts: list[str | None], buckets: int, longest: int):
+    """(text numbers, how many n-grams each has, buckets of all of them, text by text), over and over; a text may come back."""
+    for points, parts in parts_of(texts, longest):
+        owner, start, end, stop = parts.T
+        for n, bucket in hashed(points, buckets, longest):
+            count = np.maximum(np.minimum(stop, end - n + 1) - start, 0)
+            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+            yield owner, count, bucket[at]
 
 
 def count_grams(docs: DataFrame, buckets: int, longest: int) -> DataFrame:
-    """lang, bucket, n over docs (text, lang)."""
+    """lang, bucket, n over docs (text, lang); bucket -1 counts the texts."""
 
     def run(batches):
         import pyarrow as pa
 
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-                found = grams(text, buckets, longest)
-                if lang not in total:
-                    total[lang] = np.zeros(buckets, np.int64)
-                total[lang] += np.bincount(found, minlength=buckets) if len(found) > buckets // 8 else _few(found, buckets)
+            langs = batch["lang"].to_pylist()
+            names = sorted(set(langs))
+            number = np.searchsorted(names, langs)
+            sums = np.zeros(len(names) * buckets, np.int64)
+            for owner, count, bucket in grams(batch["text"].to_pylist(), buckets, longest):
+                sums += np.bincount(np.repeat(number[owner], count) * buckets + bucket, minlength=len(sums))
+            for k, lang in enumerate(names):
+                own = np.append(sums[k * buckets : (k + 1) * buckets], np.sum(number == k))
+                total[lang] = total[lang] + own if lang in total else own
         for lang, n in total.items():
             full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int64()), pa.array(n[full], pa.int64())], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(np.where(full == buckets, -1, full), pa.int64()), pa.array(n[full], pa.int64())], names=["lang", "bucket", "n"])
 
     return docs.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _few(found: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.zeros(buckets, np.int64)
-    np.add.at(out, found, 1)
-    return out
-
-
-def train(docs: DataFrame, buckets: int, longest: int, smoothing: float) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and log-probabilities [bucket, language]; docs: text and lang without nulls."""
-    rows = count_grams(docs, buckets, longest).toPandas()  # languages x buckets rows at most
+def train(docs: DataFrame, buckets: int, longest: int, smoothing: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages by name, log-probabilities [bucket, language] and log-priors; docs: text and lang without nulls."""
+    rows = count_grams(docs, buckets, longest).toPandas()  # languages x (buckets + 1) rows at most
     langs = sorted(rows["lang"].unique())
     counts = np.full((buckets, len(langs)), smoothing)
+    texts = rows[rows["bucket"] < 0].set_index("lang")["n"]
+    rows = rows[rows["bucket"] >= 0]
     counts[rows["bucket"].to_numpy(int), np.searchsorted(langs, rows["lang"])] += rows["n"]
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+    prior = np.array([texts[x] for x in langs], float)
+    return langs, np.log(counts / counts.sum(0)).astype(np.float32), np.log(prior / max(prior.sum(), 1))
+
+
+def log_likelihoods(texts: list[str | None], weights: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights [text, language], and each text's number of n-grams."""
+    total, size = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), np.int64)
+    for owner, count, bucket in grams(texts, len(weights), longest):
+        owner, count = owner[count > 0], count[count > 0]
+        if len(count):
+            np.add.at(total, owner, np.add.reduceat(weights[bucket], np.cumsum(count) - count, axis=0, dtype=float))
+            np.add.at(size, owner, count)
+    return total, size
 
 
 def identify(docs: DataFrame, training: DataFrame, buckets: int = 1 << 14, longest: int = 4, smoothing: float = 0.5) -> DataFrame:
     """doc_id, lang_pred and score for each row of docs (doc_id, text), learned from training (text, lang)."""
-    langs, matrix = train(training.filter("text is not null and lang is not null"), buckets, longest, smoothing)
+    langs, matrix, prior = train(training.filter("text is not null and lang is not null"), buckets, longest, smoothing)
     model = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def make():
-        weights = model.value
-
         def apply(rows):
-            pred, score = [], []
-            for text in rows["text"]:
-                found = grams(text or "", buckets, longest) if langs else ()
-                if not len(found):
-                    pred.append("und"), score.append(0.0)
-                    continue
-                total = np.zeros(len(langs))
-                for i in range(0, len(found), 1 << 16):
-                    part = found[i : i + (1 << 16)]
-                    if len(part) > buckets:
-                        total += np.bincount(part, minlength=buckets) @ weights
-                    else:
-                        total += weights[part].sum(0, dtype=float)
-                best = int(total.argmax())
-                mean = (total - total[best]) * longest / len(found)
-                pred.append(langs[best]), score.append(float(1 / np.exp(mean).sum()))
-            return {"doc_id": rows["doc_id"], "lang_pred": pred, "score": score}
+            total, size = log_likelihoods(rows["text"], model.value, longest)
+            if not langs:
+                return {"doc_id": rows["doc_id"], "lang_pred": ["und"] * len(size), "score": [0.0] * len(size)}
+            best = (total + prior).argmax(1)
+            mean = total * (longest / np.maximum(size, 1))[:, None] + prior
+            score = 1 / np.exp(mean - mean[np.arange(len(best)), best][:, None]).sum(1)
+            return {"doc_id": rows["doc_id"], "lang_pred": [langs[b] if n else "und" for b, n in zip(best.tolist(), size.tolist())], "score": np.where(size > 0, score, 0.0).tolist()}
 
         return apply
 
