@@ -99,7 +99,7 @@ def hot_keys(counted: DataFrame) -> DataFrame | None:
     """Of counted (key, n), the keys of more than 1 / HOT of all rows, so at most HOT of them; checkpointed. None if there is none, or too few rows to care."""
     key, n = counted.columns
     total = counted.agg(F.sum(n)).first()[0] or 0
-    if total < 100 * HOT:
+    if total < 10 * HOT:
         return None
     found = cut_lineage(counted.filter(F.col(n) > total / HOT).select(key))
     return None if found.isEmpty() else found

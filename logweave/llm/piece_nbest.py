@@ -2,16 +2,23 @@
 
 The lattice has an edge for each piece of the model's vocabulary at each place of the text (spaces written as the
 model's space mark, one put before the text), and byte pieces for characters that no piece covers. A segmentation's score
-is the sum of its pieces' scores. Forward Viterbi gives each place the best score of reaching it. That is an exact
-heuristic for the search from the end: A-star pops hypotheses by suffix score plus heuristic, so complete ones come out in
+is the sum of its pieces' scores. Forward Viterbi gives each place the best score of reaching it, and the edge by which. That is an exact
+heuristic for the search from the end: A-star orders hypotheses by suffix score plus heuristic, so complete ones come out in
 the order of their scores.
 
+As the heuristic is exact, a hypothesis that takes the best edge into its place loses nothing: it is followed to the start of the text
+at once. Only an edge that isn't the best one makes a new hypothesis, with its loss, its place and a pointer to the hypothesis that
+it leaves; ids are read off these pointers at the end. Of the hypotheses that wait no more are held than are still asked for.
+
 No piece holds both a letter and another character after its leading spaces (checked when the model is read), so the
-lattice of a text is a chain of small lattices. Each is searched once and kept in a bounded memo. The n best of the whole
-chain deviate from the best in segments among the n - 1 of smallest loss; those are combined.
+lattice of a text is a chain of segments. Each is read forward once, and its best way and the loss of its best other edge are kept in a
+bounded memo. A segment whose loss isn't among the n - 1 smallest can't be left in one of the n best: the search follows its best way
+without looking at its edges. Memory is in proportion to the text: a place holds a score and a back-pointer, edges are read from the vocabulary
+when they are needed.
 
 Null and empty texts have no pieces, one segmentation of score 0, and decode to the empty text. Ties go to the segmentation
-found first: fewer hypotheses expanded, then longer last pieces. Repeated rows come back once each; other columns aren't read.
+that leaves the best one later in the text, then to the shorter last piece. Repeated rows come back once each; other columns aren't read. An
+empty table gives an empty result.
 """
 
 import heapq
@@ -26,6 +33,8 @@ from .common import map_batches
 
 SPACE = "▁"
 BYTE_LOSS = 10.0  # below the least piece score
+MEMO_CHARS = 64
+MISSING = object()
 DIGEST = "doc_id long, n_pieces long, best_score double, n_best int, nth_score double, ids_crc32 long, decoded boolean"
 ROWS = "doc_id long, rank int, score double, ids array<long>"
 
@@ -56,106 +65,142 @@ class Lattice:
         if crossing := [p for p in self.pieces if len(self.pattern.findall(p)) != 1]:
             raise ValueError(f"pieces cross the cuts of the lattice: {crossing[:5]}")
         self.text_of |= {i: bytes([b]) for b, i in self.bytes.items()}
-        #: every start of a piece; those that are pieces have ids and score
-        self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | {p: ((i,), s) for p, (i, s) in self.pieces.items()}
+        self.longest = max(map(len, self.pieces))
+        #: every start of a piece; those that are pieces have their score
+        self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | {p: s for p, (_, s) in self.pieces.items()}
         self.byte_score = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - BYTE_LOSS
-        self.capacity, self.memo, self.searched, self.last = capacity, {}, {}, []
-
-    def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end, the (start, ids, score) of the edges into it."""
-        size = len(text)
-        into = [[] for _ in range(size + 1)]
-        get = self.starts.get
+        self.capacity, self.memo, self.last = capacity, {}, []
+
+    def raw(self, c: str) -> tuple[int, ...]:
+        return tuple(self.bytes[x] for x in c.encode("utf-8", "surrogatepass"))
+
+    def edges(self, text: str, b: int):
+        """(start, score) of the edges into place b, shortest first."""
+        if text[b - 1] not in self.pieces:
+            yield b - 1, self.byte_score * len(self.raw(text[b - 1]))
+        for a in range(b - 1, max(b - self.longest, 0) - 1, -1):
+            if (found := self.pieces.get(text[a:b])) is not None:
+                yield a, found[1]
+
+    def ids_between(self, text: str, a: int, b: int) -> tuple[int, ...]:
+        found = self.pieces.get(text[a:b])
+        return (found[0],) if found else self.raw(text[a:b])
+
+    def forward(self, text: str) -> tuple[array, array]:
+        """Viterbi: the best score of reaching each place, and where the edge starts by which."""
+        size, get = len(text), self.starts.get
+        best, by = array("d", [-np.inf]) * (size + 1), array("l", [0]) * (size + 1)
+        best[0] = 0.0
         for a in range(size):
-            covered = False
+            here, covered = best[a], False
             for b in range(a + 1, size + 1):
-                found = get(text[a:b], 0)
-                if found:
-                    into[b].append((a, *found))
-                    covered = covered or b == a + 1
-                elif found == 0:  # no piece starts so
+                score = get(text[a:b], MISSING)
+                if score is MISSING:  # no piece starts so
                     break
+                if score is not None:
+                    covered = covered or b == a + 1
+                    if here + score >= best[b]:  # of equal ones the last, which is the shortest
+                        best[b], by[b] = here + score, a
             if not covered:
-                raw = text[a].encode("utf-8", "surrogatepass")
-                into[a + 1].append((a, tuple(self.bytes[x] for x in raw), self.byte_score * len(raw)))
-        return into
-
-    @staticmethod
-    def forward(into) -> tuple[list[float], list[int]]:
-        """Viterbi: the best score of reaching each place, and the edge by which."""
-        best, by = [0.0], [-1]
-        for edges in into[1:]:
-            top, at = -np.inf, -1
-            for k, (a, _, s) in enumerate(edges):
-                if best[a] + s > top:
-                    top, at = best[a] + s, k
-            best.append(top)
-            by.append(at)
+                score = here + self.byte_score * len(self.raw(text[a]))
+                if score >= best[a + 1]:
+                    best[a + 1], by[a + 1] = score, a
         return best, by
 
-    def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """A-star from the end: the n best segmentations of one lattice, (score, ids), best first."""
-        into = self.edges(text)
-        best, _ = self.forward(into)
-        heap, count, out = [(-best[-1], 0, len(text), 0.0, ())], 1, []
-        while heap and len(out) < n:
-            _, _, place, suffix, ids = heapq.heappop(heap)
-            if not place:
-                out.append((suffix, ids))
-                continue
-            for a, own, s in into[place]:
-                heapq.heappush(heap, (-(best[a] + (suffix + s)), count, a, suffix + s, own + ids))
-                count += 1
-        return out
-
     def known(self, segment: str) -> tuple[float, bytes, float]:
-        """Best score, its ids as bytes, and what the second best loses: it has an edge that isn't on the best path."""
+        """Best score, its ids as bytes, and the least loss of an edge that leaves the best way."""
         found = self.memo.get(segment)
         if found is None:
+            if len(segment) > MEMO_CHARS:
+                best, by = self.forward(segment)
+                loss = min((x for x, _, _ in self.departures(segment, best, by, len(segment))), default=np.inf)
+                return best[-1], self._ids(segment, by, {}), loss
             if len(self.memo) >= self.capacity:
                 self.memo.clear()
-            found = self.memo[segment] = self._best_and_loss(segment)
+            found = self.memo[segment] = self._of_short(segment)
         return found
 
-    def _best_and_loss(self, segment: str) -> tuple[float, bytes, float]:
-        into = self.edges(segment)
-        best, by = self.forward(into)
-        place, ids, path = len(segment), (), set()
+    def _of_short(self, segment: str) -> tuple[float, bytes, float]:
+        """As known says, with the edges of the whole segment at hand."""
+        size, get = len(segment), self.starts.get
+        best, by = [0.0] + [-np.inf] * size, [0] * (size + 1)
+        into: list[list] = [[] for _ in range(size + 1)]
+        for a in range(size):
+            here, covered = best[a], False
+            for b in range(a + 1, size + 1):
+                score = get(segment[a:b], MISSING)
+                if score is MISSING:  # no piece starts so
+                    break
+                if score is not None:
+                    covered = covered or b == a + 1
+                    into[b].append((a, here + score))
+                    if here + score >= best[b]:
+                        best[b], by[b] = here + score, a
+            if not covered:
+                score = here + self.byte_score * len(self.raw(segment[a]))
+                into[a + 1].append((a, score))
+                if score >= best[a + 1]:
+                    best[a + 1], by[a + 1] = score, a
+        place, ids, loss = size, [], np.inf
+        while place:
+            way, top = by[place], best[place]
+            for a, score in into[place]:
+                if a != way and top - score < loss:
+                    loss = top - score
+            ids.append(self.ids_between(segment, way, place))
+            place = way
+        return best[-1], array("I", [i for own in reversed(ids) for i in own]).tobytes(), loss
+
+    def _ids(self, segment: str, by, departed: dict[int, int]) -> bytes:
+        """The ids of the way that takes the departed edges (start by place), and else the best ones."""
+        ids, place = [], len(segment)
+        while place:
+            a = departed.get(place, by[place])
+            ids.append(self.ids_between(segment, a, place))
+            place = a
+        return array("I", [i for own in reversed(ids) for i in own]).tobytes()
+
+    def departures(self, segment: str, best: array, by: array, place: int):
+        """(loss, place, start) of the edges that leave the best way back from place."""
         while place:
-            path.add(place)
-            place, own, _ = into[place][by[place]]
-            ids = own + ids
-        rest = [-np.inf] * len(segment) + [0.0]
-        second = -np.inf
-        for b in range(len(segment), 0, -1):
-            after = rest[b]
-            for k, (a, _, s) in enumerate(into[b]):
-                if after + s > rest[a]:
-                    rest[a] = after + s
-                if (k != by[b] or b not in path) and best[a] + s + after > second:
-                    second = best[a] + s + after
-        return best[-1], array("I", ids).tobytes(), best[-1] - second
-
-    def several(self, segment: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best of one segment."""
-        found = self.searched.get((segment, n))
-        if found is None:
-            if len(self.searched) >= self.capacity // 8:
-                self.searched.clear()
-            found = self.searched[segment, n] = [(s, array("I", ids).tobytes()) for s, ids in self.search(segment, n)]
-        return found
+            top, way = best[place], by[place]
+            for a, score in self.edges(segment, place):
+                if a != way:
+                    yield top - (best[a] + score), place, a
+            place = way
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[tuple[int, bytes]]]]:
         """The n best of a whole text: score, and the (segment number, ids) that differ from the best. First comes the best, without any."""
         texts = self.pattern.findall(" " + text) if text else []
         segments = self.last = [self.known(s) for s in texts]
         total = float(sum(s[0] for s in segments))
-        combined = [(0.0, [])]
-        for k in heapq.nsmallest(n - 1, range(len(segments)), key=lambda k: (segments[k][2], k)):
-            own = self.several(texts[k], n)
-            options = [(loss + own[0][0] - score, changes + ([(k, ids)] if i else [])) for loss, changes in combined for i, (score, ids) in enumerate(own)]
-            combined = sorted(options, key=lambda x: x[0])[:n]
-        return [(total - loss, changes) for loss, changes in combined]
+        open_segments = sorted(heapq.nsmallest(n - 1, range(len(segments)), key=lambda k: (segments[k][2], -k)), reverse=True)
+        lattices = {k: self.forward(texts[k]) for k in open_segments if segments[k][2] < np.inf}
+        waiting: list[tuple] = [(0.0, 0, None, -1, 0, 0)]  # loss, number, the hypothesis that it leaves, segment, place, start
+        out, made = [], 1
+        while waiting and len(out) < n:
+            hypothesis = heapq.heappop(waiting)
+            loss, _, _, at, _, start = hypothesis
+            out.append((total - loss, self._changes(texts, lattices, hypothesis)))
+            for k in open_segments:  # from the end of the text to its start
+                if k not in lattices or at >= 0 and k > at:
+                    continue
+                way = self.departures(texts[k], *lattices[k], start if k == at else len(texts[k]))
+                for more, place, a in heapq.nsmallest(n - len(out), way, key=lambda x: x[0]):
+                    heapq.heappush(waiting, (loss + more, made, hypothesis, k, place, a))
+                    made += 1
+            if len(waiting) > n - len(out):
+                waiting = heapq.nsmallest(n - len(out), waiting)  # sorted, so still a heap
+        return out
+
+    def _changes(self, texts: list[str], lattices: dict, hypothesis) -> list[tuple[int, bytes]]:
+        """The ids of the segments in which the hypothesis and those that it leaves depart from the best way."""
+        edges: dict[int, dict[int, int]] = {}
+        while hypothesis[2] is not None:
+            _, _, left, k, place, a = hypothesis
+            edges.setdefault(k, {})[place] = a
+            hypothesis = left
+        return [(k, self._ids(texts[k], lattices[k][1], own)) for k, own in edges.items()]
 
     def best_ids(self) -> bytes:
         """Of the text that nbest saw last."""
