@@ -49,7 +49,7 @@ def smallest_by_hash(rows: DataFrame, keys: list[str], n: int, total: int) -> li
         share *= 8
 
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 
 def slices(batch: pa.RecordBatch):
@@ -59,9 +59,18 @@ def slices(batch: pa.RecordBatch):
         yield batch.slice(i, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session: of long texts, the default of 10,000 can be more than an executor holds. A smaller setting stays."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * SLICE_BYTES)):
+        now = int(spark.conf.get(name, "0") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
     """The rows of df that stay, with all their columns. make() is called once a task and returns a function from an Arrow array of the column to a mask."""
     at = df.columns.index(column)
+    small_batches(df.sparkSession)
 
     def run(batches):
         keep = make()
@@ -117,6 +126,8 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None,
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow with lists: make() is called once a task and returns a function from a dict of lists to a dict of lists."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         apply, wanted = make(), None
         for batch in batches:
