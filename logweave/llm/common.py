@@ -62,8 +62,8 @@ def slices(batch: pa.RecordBatch):
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows in this session: of long texts, the default of 10,000 can be more than an executor holds. A smaller setting stays."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * SLICE_BYTES)):
-        now = int(spark.conf.get(name, "0") or 0)
-        if now <= 0 or now > most:
+        now = (spark.conf.get(name, None) or "").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:  # sizes with units are read as unset
             spark.conf.set(name, str(most))
 
 

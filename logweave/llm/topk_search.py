@@ -7,7 +7,7 @@ have reached; and a lower bound: these contributions, and the least of the other
 far, or what is known from other shards. Where nothing is known, lists are read from their worst ends too, which raises lower bounds.
 
 Reading stops when outsiders can't qualify: when the rows whose upper bound reaches the threshold, unseen ones included, are few (4 * k, or
-every 64th row), or the lists end. Only then are these rows' final scores resolved, from their vectors; no such access decides
+every 16th row), or the lists end. Only then are these rows' final scores resolved, from their vectors; no such access decides
 what is read or when reading stops. Rows that tie with the threshold are never dropped, so ties go to the smaller vec_id.
 
 Candidates are dealt to shards by hash; the query set is a stated part of the table and meets every row once, in blocks. Shards
@@ -93,6 +93,8 @@ class Shard:
             high = np.where(query > 0, greatest, least) * rough
             low = (np.where(query > 0, least, greatest) if both else np.where(query > 0, self.sorted[:, 0], self.sorted[:, -1])) * rough
             seen_of = lambda bound: sum(np.bincount(rows, bound[lists], n) for rows, lists in seen)
+            if not (both or last) and high.sum() >= threshold:
+                continue  # rows that no list has shown may still qualify
             room = 1e-9 * (np.abs(high).sum() + np.abs(low).sum() + np.abs(sums)) + 1e-3
             upper = sums + room + high.sum() - seen_of(high)
             if both or last:
@@ -100,7 +102,7 @@ class Shard:
                 if len(lower) >= k:
                     threshold = max(threshold, np.partition(lower, len(lower) - k)[len(lower) - k])
             alive &= upper >= threshold
-            if last or alive.sum() <= max(4 * k, n // 64):
+            if last or alive.sum() <= max(4 * k, n // 16):
                 break
             if 2 * alive.sum() < n:  # what can't qualify isn't summed again
                 seen = [(rows[alive[rows]], lists[alive[rows]]) for rows, lists in seen]
