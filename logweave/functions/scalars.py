@@ -85,3 +85,10 @@ def guarantee(tier) -> Column:
 def one_of(c, allowed: list[str], default: str) -> Column:
     """Decoders never fail on an unknown enumeration value; they fall back."""
     return F.when(col(c).isin(allowed), col(c)).otherwise(F.lit(default))
+
+
+def prices(text) -> tuple[Column, Column, Column]:
+    """Of "model, dollars in, dollars out": the model, and both prices in millionths; 0 where there is no number."""
+    part = lambda n: F.trim(F.split_part(col(text), F.lit(","), F.lit(n)))
+    micros = lambda n: F.coalesce(F.floor(F.nullif(part(n), F.lit("")).try_cast("double") * 1_000_000).cast("bigint"), F.lit(0).cast("bigint"))
+    return part(1), micros(2), micros(3)

@@ -2,6 +2,7 @@
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,60 +11,57 @@ from pyspark.sql.types import StringType
 from ..functions.scalars import percent_change
 
 
-def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """A shortest script (equal / delete / insert, place in a, place in b) by Myers' greedy search; between two equal
-    runs all deletes come before all inserts."""
-    n, m = len(a), len(b)
-    furthest, history = {1: 0}, []
-    for d in range(n + m + 1):
-        history.append(dict(furthest))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or k != d and furthest[k - 1] < furthest[k + 1]
-            x = furthest[k + 1] if down else furthest[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            furthest[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
-    steps, x, y = [], n, m
-    for d in range(len(history) - 1, -1, -1):
-        seen, k = history[d], x - y
-        down = k == -d or k != d and seen[k - 1] < seen[k + 1]
-        from_k = k + 1 if down else k - 1
-        from_x = seen[from_k] if d else 0
-        from_y = from_x - from_k if d else 0
-        while x > from_x and y > from_y:
-            x, y = x - 1, y - 1
-            steps.append(("equal", x, y))
-        if d:
-            steps.append(("insert", -1, y - 1) if down else ("delete", x - 1, -1))
-            x, y = from_x, from_y
-    steps.reverse()
-    out, deletes, inserts = [], [], []
-    for s in [*steps, ("equal", -1, -1)]:
-        if s[0] == "equal":
-            out += [*deletes, *inserts, s]
-            deletes, inserts = [], []
-        else:
-            (deletes if s[0] == "delete" else inserts).append(s)
-    return out[:-1]
+def _common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each start of b, the length of its longest common subsequence with a."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
 
 
-def trajectory(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Alignment of two step lists (key, seq, step_id) for each key: key, position, op, step_id."""
-    kind = dict(a.dtypes)[key]
+def _common(a: np.ndarray, b: np.ndarray, at_a: int = 0, at_b: int = 0) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by halving a: memory in proportion to the steps."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) == 1:
+        found = np.flatnonzero(b == a[0])
+        return [(at_a, at_b + int(found[0]))] if len(found) else []
+    half = len(a) // 2
+    cut = int((_common_lengths(a[:half], b) + _common_lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return _common(a[:half], b[:cut], at_a, at_b) + _common(a[half:], b[cut:], at_a + half, at_b + cut)
 
-    def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left if len(left) else right
-        left, right = left.sort_values("seq")["step_id"].tolist(), right.sort_values("seq")["step_id"].tolist()
-        rows = [(i, op, left[x] if op != "insert" else right[y]) for i, (op, x, y) in enumerate(edit_script(left, right))]
-        return pd.DataFrame([(own[key].iloc[0], *r) for r in rows], columns=[key, "position", "op", "step_id"])
 
-    columns = [key, "seq", "step_id"]
-    return a.select(*columns).groupBy(key).cogroup(b.select(*columns).groupBy(key)).applyInPandas(align, f"{key} {kind}, position int, op string, step_id string")
+def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """A shortest script (equal / delete / insert, place in a, place in b); between two equal runs all deletes come before all inserts."""
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(s, len(numbers)) for s in side], np.int64) for side in (a, b))
+    own_x, own_y = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))  # what only one side has is in no common subsequence
+    out, i, j = [], 0, 0
+    for p, q in [*((int(own_x[p]), int(own_y[q])) for p, q in _common(x[own_x], y[own_y])), (len(a), len(b))]:
+        out += [("delete", k, -1) for k in range(i, p)] + [("insert", -1, k) for k in range(j, q)]
+        if p < len(a):
+            out.append(("equal", p, q))
+        i, j = p + 1, q + 1
+    return out
+
+
+def trajectory(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Alignment of two step lists (key, seq, step_id) for each key: key, position, op, step_id. Keys of one side alone stay."""
+    steps = lambda side, name: side.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "step_id"))), lambda s: s["step_id"]).alias(name))
+    none = F.array().cast("array<string>")
+    both = steps(a, "old").join(steps(b, "new"), key, "full_outer").select(key, F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
+    kind = both.schema[key].dataType
+
+    def align(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for own, old, new in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                script = edit_script(old, new)
+                text = [old[x] if op != "insert" else new[y] for op, x, y in script]
+                yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(script), own.type), pa.array(range(len(script)), pa.int32()), pa.array([s[0] for s in script], pa.string()), pa.array(text, pa.string())], names=[key, "position", "op", "step_id"])
+
+    return both.mapInArrow(align, f"`{key}` {kind.simpleString()}, position int, op string, step_id string")
 
 
 @F.pandas_udf(StringType())

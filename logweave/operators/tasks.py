@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folding import fold
+
 
 def claimable(tasks: DataFrame, now_ms: Column) -> DataFrame:
     """Visible, and unowned or with an expired lease. tasks: queue, branch_id, visible_at_ms, lease_owner, lease_expires_at_ms."""
@@ -15,12 +17,40 @@ def next_claim(tasks: DataFrame, now_ms: Column) -> DataFrame:
     return claimable(tasks, now_ms).groupBy("queue").agg(best, F.count("*").alias("claimable")).select("queue", F.col("best.branch_id").alias("branch_id"), F.col("best.visible_at_ms").alias("visible_at_ms"), "claimable")
 
 
-def append_verdicts(appends: DataFrame) -> DataFrame:
-    """Of appends in order (branch_id, seq: as arrived, epoch, first_seq: as claimed): stale if a higher epoch came before, else conflict if first_seq isn't the head's next."""
-    before = Window.partitionBy("branch_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    highest = F.coalesce(F.max("epoch").over(before), F.lit(0))
-    verdict = F.when(F.col("epoch") < F.col("highest"), "stale epoch").when(F.col("first_seq") != F.col("seq"), "conflict").otherwise("accepted")
-    return appends.withColumn("highest", highest).withColumn("verdict", verdict).drop("highest")
+def append_verdicts(log: DataFrame) -> DataFrame:
+    """Verdicts over claims and appends in order (branch_id, seq: as arrived, claims, epoch: as held, first_seq: as sent).
+
+    A claim raises the task's epoch. An append is stale if it doesn't hold the task's epoch, a conflict if it doesn't begin right behind the
+    accepted head, and else moves the head. Refused appends change nothing."""
+
+    def step(state, row):
+        epoch, head = state
+        if row["claims"]:
+            return (epoch + 1, head), ("claimed", epoch + 1, head)
+        if not epoch or row["epoch"] != epoch:  # without a claim there is no task
+            return state, ("stale epoch", epoch, head)
+        if row["first_seq"] != head + 1:
+            return state, ("conflict", epoch, head)
+        return (epoch, head + 1), ("accepted", epoch, head + 1)
+
+    return fold(log, "branch_id", ["seq"], (0, -1), step, "verdict string, task_epoch bigint, head bigint")
+
+
+def fence_counters(verdicts: DataFrame, key: str = "branch_id") -> DataFrame:
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    return verdicts.groupBy(key).agg(n("accepted").alias("appends_accepted"), n("stale epoch").alias("rejected_stale_epoch"), n("conflict").alias("rejected_conflict"))
+
+
+def consumed_signals(events: DataFrame, branches: DataFrame) -> DataFrame:
+    """How many signals of each name a branch took from its inbox itself: received from its own fork on. events: branch_id, seq, name, source."""
+    own = branches.select("branch_id", F.coalesce("fork_seq", F.lit(0)).alias("from_seq"))
+    taken = events.filter("source = 'inbox'").join(own, "branch_id").filter("seq >= from_seq")
+    return taken.groupBy("branch_id", "name").agg(F.count("*").alias("consumed"))
+
+
+def without_cancelled(tasks: DataFrame, branches: DataFrame) -> DataFrame:
+    """Tasks of cancelled branches leave the queue. branches: branch_id, status."""
+    return tasks.join(branches.filter("status = 'cancelled'").select("branch_id"), "branch_id", "left_anti")
 
 
 def attempts(claims: DataFrame, most: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import clipped, col
 
 
 def ordered(*keys) -> Window:
@@ -69,3 +69,40 @@ def trailing(turns: DataFrame, role: str) -> DataFrame:
     """The last turns of each branch that all have one role."""
     other = F.max(F.when(F.col("role") != role, F.col("seq"))).over(Window.partitionBy("branch_id"))
     return turns.withColumn("other", other).filter(F.col("other").isNull() | (F.col("seq") > F.col("other"))).drop("other")
+
+
+def event_segments(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Each event with the worker segment that it lies in; events of no worker have none. found: as segments gives it."""
+    s = found.select("branch_id", F.col("epoch").alias("own_epoch"), "segment", "first_seq", "last_seq")
+    inside = (F.col("epoch") == F.col("own_epoch")) & F.col("seq").between(F.col("first_seq"), F.col("last_seq"))
+    return events.filter("epoch > 0").join(s, "branch_id").filter(inside).drop("own_epoch", "first_seq", "last_seq")
+
+
+def model_content(response) -> Column:
+    """Of a model's answer (JSON): its content, and a line "→ name(arguments)" for each call."""
+    said = F.nullif(F.coalesce(F.get_json_object(response, "$.content"), F.lit("")), F.lit(""))
+    calls = F.coalesce(F.from_json(F.get_json_object(response, "$.tool_calls"), "array<struct<name:string,arguments:string>>"), F.array().cast("array<struct<name:string,arguments:string>>"))
+    lines = F.transform(calls, lambda c: F.concat(F.lit("→ "), c["name"], F.lit("("), c["arguments"], F.lit(")")))
+    return F.array_join(F.array_compact(F.concat(F.array(said), lines)), "\n")
+
+
+def detail(kind, body, size: int = 90) -> Column:
+    """A line about an event, by its type. body: JSON; other types show it, cut to size."""
+    get = lambda path: F.coalesce(F.get_json_object(body, f"$.{path}"), F.lit(""))
+    cut = lambda c: clipped(c, size)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    names = F.from_json(F.get_json_object(body, "$.response.tool_calls"), "array<struct<name:string>>")
+    calls = F.coalesce(F.array_join(F.transform(names, lambda c: F.concat(F.lit("→"), F.coalesce(c["name"], F.lit("")))), " "), F.lit(""))
+    said = F.when(get("response.content") != "", text(" “", get("response.content"), "”")).otherwise("")
+    lines = {
+        "RunStarted": text(get("workflow"), "@", get("workflow_version")), "RunCompleted": cut(get("output")), "RunFailed": cut(get("error")),
+        "Forked": text("from ", get("from_step"), " ", get("overrides")), "LlmRequested": text("model=", get("request.model"), " fp=", F.left(get("fingerprint"), F.lit(12))),
+        "LlmCompleted": cut(text(get("response.model"), " ", calls, said)),
+        "EffectIntent": text(get("adapter"), " tier ", get("tier"), " key ", F.left(get("idem_key"), F.lit(13)), "…", F.when(get("simulated") == "true", " (simulated)").otherwise("")),
+        "EffectCommitted": cut(text("[", get("source"), "] ", get("output"))), "EffectAborted": cut(get("error")), "EffectInDoubt": cut(get("reason")),
+        "SignalReceived": text("[", get("source"), "] ", get("payload")), "TimerSet": text("fires at ", get("fire_at_ms")),
+    }
+    out = F
+    for name, line in lines.items():
+        out = out.when(kind == name, line)
+    return out.otherwise(cut(body))

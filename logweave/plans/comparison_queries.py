@@ -34,6 +34,11 @@ def trajectory(spark, d):
     return diffing.trajectory(a, b, "pair")
 
 
+#: Chains of matching steps, later in both lists than the one before; the longest is the common subsequence.
+CHAINS = """turned AS (SELECT pair, branch_id % 2 AS side, step_id, seq FROM steps),
+matches AS (SELECT a.pair, a.seq AS x, b.seq AS y FROM turned a JOIN turned b ON a.pair = b.pair AND a.step_id = b.step_id AND a.side = 0 AND b.side = 1),
+chains AS (SELECT pair, x, y, 1 AS n FROM matches UNION SELECT m.pair, m.x, m.y, c.n + 1 FROM chains c JOIN matches m ON m.pair = c.pair AND m.x > c.x AND m.y > c.y),
+longest AS (SELECT pair, max(n) AS n FROM chains GROUP BY pair), sizes AS (SELECT pair, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM turned GROUP BY pair)"""
 STEPS = "steps AS (SELECT *, branch_id // 2 AS pair, role || '#' || row_number() OVER (PARTITION BY branch_id, role ORDER BY seq) AS step_id FROM turns)"
 
 
@@ -77,14 +82,19 @@ def replay_verdicts(spark, d):
 
 @query(
     with_views(EVLOG, FINGERPRINTS)
-    + """SELECT pair, count(*) FILTER (verdict = 'replayed') AS replayed, count(*) FILTER (verdict = 'mismatch') AS mismatches, count(*) FILTER (verdict = 'beyond the tip') AS external_calls,
-  min(step_id) FILTER (verdict = 'mismatch') AS first_mismatch, count(*) FILTER (verdict IN ('mismatch', 'beyond the tip')) = 0 AND pair % 9 <> 0 AS clean FROM verdicts GROUP BY pair"""
+    + """, outputs AS (SELECT branch_id // 2 AS pair, arg_max(body, seq) FILTER (branch_id % 2 = 0) AS recorded, arg_max(body, seq) FILTER (branch_id % 2 = 1) AS output FROM evlog WHERE type = 'purchase' GROUP BY 1),
+counted AS (SELECT pair, count(*) FILTER (verdict = 'replayed') AS replayed, count(*) FILTER (verdict = 'mismatch') AS mismatches, count(*) FILTER (verdict = 'beyond the tip') AS external_calls,
+  min(step_id) FILTER (verdict = 'mismatch') AS first_mismatch, count(*) FILTER (verdict IN ('mismatch', 'beyond the tip')) = 0 AND pair % 9 <> 0 AS sound FROM verdicts GROUP BY pair)
+SELECT c.pair, replayed, mismatches, external_calls, first_mismatch, recorded = output AS output_matches, sound AND coalesce(recorded = output, true) AS clean FROM counted c LEFT JOIN outputs o ON o.pair = c.pair"""
 )
 def replay_report(spark, d):
     """Every ninth pair's chain counts as broken."""
     verdicts = verdicts_of(spark, d)
     chains = verdicts.select("pair").distinct().withColumn("error", F.when(F.col("pair") % 9 == 0, "tampered"))
-    return replaying.report(verdicts, chains, "pair", "step_id")
+    side = lambda rest: F.when(F.col("branch_id") % 2 == rest, F.col("seq"))
+    bought = evlog(spark, d).filter("type = 'purchase'").groupBy(F.expr("branch_id div 2").alias("pair"))
+    outputs = bought.agg(F.max_by("body", side(0)).alias("recorded"), F.max_by("body", side(1)).alias("output"))
+    return replaying.report(verdicts, chains, outputs, "pair", "step_id")
 
 
 @query(
@@ -100,3 +110,10 @@ def reference_compare(spark, d):
 @query(with_views(TURNS, "marked AS (SELECT *, max(CASE WHEN role <> 'user' THEN seq END) OVER (PARTITION BY branch_id) AS other FROM turns)") + "SELECT branch_id, seq, role, text, tokens FROM marked WHERE other IS NULL OR seq > other")
 def trailing_turns(spark, d):
     return views.trailing(turns(spark, d), "user")
+
+
+@query(with_views(TURNS, STEPS, CHAINS) + "SELECT s.pair, CAST(coalesce(l.n, 0) AS BIGINT) AS equal, a - coalesce(l.n, 0) AS deleted, b - coalesce(l.n, 0) AS inserted FROM sizes s LEFT JOIN longest l ON l.pair = s.pair")
+def trajectory_counts(spark, d):
+    """How much of both sides a shortest script keeps, deletes and inserts: the same for every shortest script."""
+    n = lambda op: F.count_if(F.col("op") == op)
+    return trajectory(spark, d).groupBy("pair").agg(n("equal").alias("equal"), n("delete").alias("deleted"), n("insert").alias("inserted"))

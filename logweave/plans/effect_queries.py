@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import idempotency_key
+from ..functions.scalars import idempotency_key, one_of
 from ..operators import audit, effects, tasks
 from .bindings import BRANCHES, EVLOG, PAYMENTS, branches, evlog, payments, table, with_views
 from .registry import query
@@ -63,8 +63,10 @@ def refund_audit(spark, d):
 
 
 @query(
-    with_views(PAYMENTS, "running AS (SELECT payment, line, part, supplier, cents, CAST(sum(cents) OVER (PARTITION BY payment ORDER BY line, part, supplier, cents ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM refunds)")
-    + "SELECT r.payment, r.line, r.part, r.supplier, r.cents, r.so_far, p.cents AS cap, r.so_far > p.cents AS over FROM running r JOIN payments p USING (payment)"
+    with_views(PAYMENTS, """placed AS (SELECT r.*, p.cents AS cap, row_number() OVER (PARTITION BY payment ORDER BY line, part, supplier, r.cents) AS place FROM refunds r JOIN payments p USING (payment)),
+running AS (SELECT *, cents AS so_far, CASE WHEN cents > cap THEN 0 ELSE cents END AS refunded FROM placed WHERE place = 1
+  UNION ALL SELECT p.*, r.refunded + p.cents, CASE WHEN r.refunded + p.cents > p.cap THEN r.refunded ELSE r.refunded + p.cents END FROM running r JOIN placed p ON p.payment = r.payment AND p.place = r.place + 1)""")
+    + "SELECT payment, line, part, supplier, cents, so_far, cap, so_far > cap AS over FROM running"
 )
 def refund_cap(spark, d):
     return audit.over_cap(*payments(spark, d), ["line", "part", "supplier", "cents"])
@@ -166,3 +168,25 @@ def replay_counters(spark, d):
 def earliest_wake(spark, d):
     waits = evlog(spark, d).select("branch_id", F.when(F.col("type") == "error", "diverged").when(F.col("type") == "view", "until").otherwise("other").alias("kind"), (F.col("at_ms") + 1000).alias("at_ms"))
     return tasks.wake_at(waits, "branch_id")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'duplicate' WHEN 3 THEN NULL ELSE 'requested_by_customer' END AS reason FROM events")
+def refund_reasons(spark, d):
+    """Reasons that the provider doesn't know become the customer's request; no reason stays none."""
+    said = F.element_at(F.array(F.lit("duplicate"), F.lit("angry"), F.lit("requested_by_customer"), F.lit(None).cast("string")), (1 + F.col("event_id") % 4).cast("int"))
+    known = ["duplicate", "fraudulent", "requested_by_customer"]
+    return table(spark, d, "events").select("event_id", F.when(said.isNotNull(), one_of(said, known, "requested_by_customer")).alias("reason"))
+
+
+@query(
+    with_views(EVLOG, NUMBERED, """zombies AS (SELECT branch_id, seq, type, n, event_id % 7 AS slot, CASE WHEN event_id % 13 = 0 THEN epoch - 1 ELSE epoch END AS epoch FROM numbered),
+epochs AS (SELECT branch_id, count(*) FILTER (epoch < highest) AS regressions FROM (SELECT *, max(epoch) OVER (PARTITION BY branch_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM zombies) GROUP BY branch_id),
+twice AS (SELECT branch_id, count(*) AS twice FROM (SELECT branch_id, slot FROM zombies WHERE type = 'purchase' GROUP BY branch_id, slot HAVING count(*) > 1) GROUP BY branch_id),
+sides AS (SELECT coalesce(i.branch_id, c.branch_id) AS branch_id, count(*) FILTER (c.n IS NULL) AS unanswered, count(*) FILTER (i.n IS NULL) AS unasked
+  FROM (SELECT branch_id, n FROM numbered WHERE type = 'view') i FULL JOIN (SELECT branch_id, n FROM numbered WHERE type = 'purchase') c ON c.branch_id = i.branch_id AND c.n = i.n GROUP BY 1)""")
+    + "SELECT e.branch_id, e.regressions, coalesce(t.twice, 0) AS twice, coalesce(s.unanswered, 0) AS unanswered, coalesce(s.unasked, 0) AS unasked FROM epochs e LEFT JOIN twice t USING (branch_id) LEFT JOIN sides s USING (branch_id)"
+)
+def log_invariants(spark, d):
+    """What a recorded log must not hold, counted by branch: writers behind their epoch, keys committed twice, intents without and commits before an answer."""
+    e = numbered(spark, d).withColumns({"slot": F.col("event_id") % 7, "epoch": F.col("epoch") - (F.col("event_id") % 13 == 0).cast("int")})
+    return audit.invariants(e, F.col("type") == "view", F.col("type") == "purchase", "slot", "n")

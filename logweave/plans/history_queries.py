@@ -100,12 +100,15 @@ LATEST = "ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
 @query(
-    with_views(EVLOG, f"""intents AS (SELECT *, last_value(CASE WHEN type = 'view' THEN at_ms END IGNORE NULLS) OVER (PARTITION BY branch_id {LATEST} AS started_ms,
-  last_value(CASE WHEN type = 'view' THEN step_id END IGNORE NULLS) OVER (PARTITION BY branch_id {LATEST} AS intent_step FROM evlog)""")
+    with_views(EVLOG, f"""slots AS (SELECT *, event_id % 5 AS slot FROM evlog),
+intents AS (SELECT *, last_value(CASE WHEN type = 'view' THEN at_ms END IGNORE NULLS) OVER (PARTITION BY branch_id, slot {LATEST} AS started_ms,
+  last_value(CASE WHEN type = 'view' THEN step_id END IGNORE NULLS) OVER (PARTITION BY branch_id, slot {LATEST} AS intent_step FROM slots)""")
     + "SELECT branch_id, seq, step_id, intent_step, greatest(at_ms - coalesce(started_ms, at_ms), 0) AS duration_ms FROM intents WHERE type = 'purchase'"
 )
 def step_views(spark, d):
-    found = views.with_latest_intent(evlog(spark, d), F.col("type") == "view", F.col("type") == "purchase")
+    """A commit takes the latest intent of its own step (here: of its slot), not of its branch."""
+    e = evlog(spark, d).withColumn("slot", F.col("event_id") % 5)
+    found = views.with_latest_intent(e, F.col("type") == "view", F.col("type") == "purchase", ("branch_id", "slot"))
     return found.select("branch_id", "seq", "step_id", "intent_step", "duration_ms")
 
 
@@ -227,11 +230,108 @@ def first_match(spark, d):
 
 @query()
 def recording_export(spark, d):
-    """One document a run; SQL can't write the nested text alike, a test reads it back."""
+    """One document a branch, with its run's id; SQL can't write the nested text alike, a test reads it back. A run is assembled from its branches when it is asked for."""
     b = branches(spark, d)
     roots = b.filter("parent_branch is null").select("branch_id").withColumnRenamed("branch_id", "ancestor")
     of_run = lineage.closure(b).join(roots, "ancestor").select(F.col("ancestor").cast("string").alias("run_id"), "branch_id", F.col("distance").alias("depth"))
     text = lambda c: F.col(c).cast("string").alias(c)
     own = b.join(of_run, "branch_id").select("run_id", text("branch_id"), text("parent_branch"), "fork_seq", "depth", "created_at_ms")
-    runs = own.filter("parent_branch is null").select("run_id", F.lit("shop").alias("workflow"), "created_at_ms")
-    return export.recordings(runs, own, evlog(spark, d).withColumn("branch_id", F.col("branch_id").cast("string")), 0)
+    return export.branch_documents(own, evlog(spark, d).withColumn("branch_id", F.col("branch_id").cast("string")), 0)
+
+
+@query(
+    with_views(EVLOG, SEGMENTS) + "SELECT o.branch_id, o.seq, s.segment FROM own o JOIN segments s ON s.branch_id = o.branch_id AND s.epoch = o.epoch AND o.seq BETWEEN s.first_seq AND s.last_seq WHERE o.epoch > 0"
+)
+def event_segments(spark, d):
+    e = evlog(spark, d).withColumn("epoch", F.when(F.col("event_id") % 11 == 0, 0).otherwise(F.col("epoch")))
+    return views.event_segments(e, views.segments(e, is_result())).select("branch_id", "seq", "segment")
+
+
+COMPLETED = "completed AS (SELECT s.branch_id, s.seq, s.type, e.step_id FROM seen s JOIN evlog e ON e.branch_id = s.origin AND e.seq = s.seq)"
+
+
+@query(with_views(EVLOG, BRANCHES, CLOSURE, SEEN, COMPLETED) + "SELECT branch_id, arg_max(step_id, seq) FILTER (type = 'purchase') AS output, max(seq) FILTER (type = 'purchase') AS at_seq FROM completed GROUP BY branch_id")
+def last_output(spark, d):
+    seen = lineage.visible_events(lineage.closure(branches(spark, d)), evlog(spark, d).select("branch_id", "seq", "type", "step_id"))
+    return lineage.last_output(seen, F.col("type") == "purchase", F.col("step_id"))
+
+
+OVERRIDES = """own AS (SELECT branch_id, parent_branch, CASE WHEN branch_id % 3 = 0 THEN 'm' || branch_id % 5 END AS model, CASE WHEN branch_id % 4 = 0 THEN 'simulate' WHEN branch_id % 4 = 1 THEN 'live' END AS effects,
+  CASE WHEN branch_id % 2 = 0 THEN 'p' || branch_id % 5 END AS triage, CASE WHEN branch_id % 3 = 1 THEN 'r' || branch_id % 7 END AS reply, CASE WHEN branch_id % 5 = 0 THEN 'g' || branch_id % 2 END AS go, 't' || branch_id % 4 AS tool FROM branches),
+steps AS (SELECT c.branch_id, c.distance, c.from_seq, o.* EXCLUDE (branch_id, parent_branch) FROM closure c JOIN own o ON o.branch_id = c.ancestor WHERE o.parent_branch IS NOT NULL),
+asked AS (SELECT branch_id, unnest([NULL, 0, 2, 4, 6]) AS seq FROM branches),
+active AS (SELECT a.branch_id, a.seq, s.* EXCLUDE (branch_id) FROM asked a LEFT JOIN steps s ON s.branch_id = a.branch_id AND (a.seq IS NULL OR s.from_seq <= a.seq)),
+tools AS (SELECT branch_id, seq, string_agg(tool, ',' ORDER BY place) AS allow_live FROM (SELECT branch_id, seq, tool, min(-distance) AS place FROM active WHERE tool IS NOT NULL GROUP BY branch_id, seq, tool) GROUP BY branch_id, seq),
+nearest AS (SELECT branch_id, seq, arg_min(model, distance) FILTER (model IS NOT NULL) AS model, coalesce(arg_min(effects, distance) FILTER (effects IS NOT NULL), 'live') AS effects,
+  concat_ws(',', 'reply=' || arg_min(reply, distance) FILTER (reply IS NOT NULL), 'triage=' || arg_min(triage, distance) FILTER (triage IS NOT NULL)) AS patches, coalesce('go=' || arg_min(go, distance) FILTER (go IS NOT NULL), '') AS signals FROM active GROUP BY branch_id, seq)"""
+
+
+@query(
+    with_views(BRANCHES, CLOSURE, OVERRIDES)
+    + "SELECT n.branch_id, CAST(n.seq AS BIGINT) AS seq, n.model, n.effects, n.patches, n.signals, coalesce(t.allow_live, '') AS allow_live FROM nearest n LEFT JOIN tools t ON t.branch_id = n.branch_id AND t.seq IS NOT DISTINCT FROM n.seq"
+)
+def overrides_at(spark, d):
+    """Overrides in force at some seqs and at the tip (null)."""
+    b, at = branches(spark, d), F.col("branch_id")
+    name = lambda letter, n: F.concat(F.lit(letter), (at % n).cast("string"))
+    some = lambda *pairs: F.map_filter(F.create_map(*[F.lit(x) if isinstance(x, str) else x for p in pairs for x in p]), lambda k, v: v.isNotNull())
+    own = b.withColumns({
+        "model": F.when(at % 3 == 0, name("m", 5)), "effects": F.when(at % 4 == 0, "simulate").when(at % 4 == 1, "live"), "allow_live": F.array(name("t", 4)),
+        "prompt_patches": some(("triage", F.when(at % 2 == 0, name("p", 5))), ("reply", F.when(at % 3 == 1, name("r", 7)))), "signals": some(("go", F.when(at % 5 == 0, name("g", 2)))),
+    })
+    asked = b.select("branch_id", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (None, 0, 2, 4, 6)])).alias("seq"))
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    found = lineage.overrides_at(lineage.closure(b), own, asked)
+    return found.select("branch_id", "seq", "model", "effects", shown("prompt_patches").alias("patches"), shown("signals").alias("signals"), F.array_join("allow_live", ",").alias("allow_live"))
+
+
+CLIPPED = "CASE WHEN length(t) > 90 THEN left(t, 89) || '…' ELSE t END"
+
+
+@query(
+    with_views(EVLOG, """typed AS (SELECT branch_id, seq, type, step_id, replace(body, ' ', '') AS body, sha256(body) AS fp FROM evlog)""")
+    + f"""SELECT branch_id, seq, CASE type WHEN 'signup' THEN 'shop@' || step_id WHEN 'view' THEN 'model=large fp=' || left(fp, 12) WHEN 'click' THEN '[inbox] ' || body
+  WHEN 'purchase' THEN (SELECT {CLIPPED} FROM (SELECT '[live] ' || body AS t)) ELSE (SELECT {CLIPPED} FROM (SELECT repeat(step_id || ' ', 20) AS t)) END AS detail FROM typed"""
+)
+def history_details(spark, d):
+    """A line about each event by its type."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    json = lambda *pairs: F.concat(F.lit("{"), *[x for i, (k, v) in enumerate(pairs) for x in (F.lit(("," if i else "") + f'"{k}":'), v)], F.lit("}"))
+    e = evlog(spark, d)
+    named = F.when(F.col("type") == "signup", "RunStarted").when(F.col("type") == "view", "LlmRequested").when(F.col("type") == "click", "SignalReceived").when(F.col("type") == "purchase", "EffectCommitted").otherwise("RunFailed")
+    body = (
+        F.when(F.col("type") == "signup", json(("workflow", F.lit('"shop"')), ("workflow_version", quoted(F.col("step_id")))))
+        .when(F.col("type") == "view", json(("request", F.lit('{"model":"large"}')), ("fingerprint", quoted(F.sha2("body", 256)))))
+        .when(F.col("type") == "click", json(("source", F.lit('"inbox"')), ("payload", F.col("body"))))
+        .when(F.col("type") == "purchase", json(("source", F.lit('"live"')), ("output", F.col("body"))))
+        .otherwise(json(("error", quoted(F.repeat(F.concat("step_id", F.lit(" ")), F.lit(20))))))
+    )
+    return e.select("branch_id", "seq", views.detail(named, body).alias("detail"))
+
+
+TARGETS = """root_of AS (SELECT r.branch_id, r.ancestor AS root FROM reach r JOIN branches b ON b.branch_id = r.ancestor WHERE b.parent_branch IS NULL),
+own AS (SELECT branch_id AS n, root, left(sha256('b' || branch_id), 16) AS branch_id, left(sha256('r' || root), 16) AS run_id, CASE WHEN branch_id = root THEN 'main' ELSE 'f' || branch_id % 20 END AS label FROM root_of),
+runs AS (SELECT run_id, branch_id AS root_branch FROM own WHERE n = root),
+targets AS (SELECT left(branch_id, 1 + n % 6) AS target FROM own UNION SELECT left(run_id, 4) || ':' || label FROM own UNION SELECT run_id FROM own UNION SELECT upper(left(run_id, 3)) FROM own UNION SELECT 'nothing'),
+asked AS (SELECT target, lower(split_part(target, ':', 1)) AS needle, CASE WHEN contains(target, ':') THEN split_part(target, ':', 2) END AS wanted FROM targets),
+met AS (SELECT a.*, r.run_id, r.root_branch FROM asked a JOIN runs r ON starts_with(r.run_id, a.needle)),
+found AS (SELECT target, root_branch AS branch_id FROM met WHERE wanted IS NULL OR wanted = 'main'
+  UNION ALL SELECT target, min(o.branch_id) FROM met JOIN own o ON o.run_id = met.run_id AND (o.label = wanted OR starts_with(o.branch_id, wanted)) WHERE wanted <> 'main' GROUP BY target, met.run_id
+  UNION ALL SELECT a.target, o.branch_id FROM asked a JOIN own o ON starts_with(o.branch_id, a.needle) WHERE wanted IS NULL AND NOT EXISTS (SELECT 1 FROM met WHERE met.target = a.target AND met.run_id = o.run_id))"""
+
+
+@query(
+    with_views(BRANCHES, CLOSURE, TARGETS)
+    + "SELECT a.target, CASE WHEN count(f.target) = 1 THEN min(f.branch_id) END AS branch_id, CASE WHEN count(f.target) = 0 THEN 'nothing matches' WHEN count(f.target) > 1 THEN 'ambiguous (' || count(f.target) || ' matches)' END AS error FROM asked a LEFT JOIN found f ON f.target = a.target GROUP BY a.target"
+)
+def target_resolution(spark, d):
+    """Branches that starts of ids, and runs with labels, name."""
+    b = branches(spark, d)
+    roots = b.filter("parent_branch is null").select(F.col("branch_id").alias("ancestor"))
+    code = lambda letter, c: F.left(F.sha2(F.concat(F.lit(letter), F.col(c).cast("string")), 256), F.lit(16))
+    label = F.when(F.col("branch_id") == F.col("ancestor"), "main").otherwise(F.concat(F.lit("f"), (F.col("branch_id") % 20).cast("string")))
+    own = lineage.closure(b).join(roots, "ancestor").select(F.col("branch_id").alias("n"), (F.col("branch_id") == F.col("ancestor")).alias("root"), code("b", "branch_id").alias("branch_id"), code("r", "ancestor").alias("run_id"), label.alias("label"))
+    runs = own.filter("root").select("run_id", F.col("branch_id").alias("root_branch"))
+    named = [F.expr("left(branch_id, cast(1 + n % 6 as int))"), F.concat(F.expr("left(run_id, 4)"), F.lit(":"), "label"), F.col("run_id"), F.upper(F.expr("left(run_id, 3)")), F.lit("nothing")]
+    targets = own.select(F.explode(F.array(*named)).alias("target")).distinct()
+    return lineage.resolve(targets, runs, own.select("branch_id", "run_id", "label"))

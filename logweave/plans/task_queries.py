@@ -1,11 +1,11 @@
-"""The task queue: claims, appends, attempts, signals, timers, the lease machine, simulation."""
+"""The task queue: claims, appends, attempts, signals, timers, the lease machine."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_ms, epoch_ms
-from ..operators import lease_machine, simulate, tasks, views
-from .bindings import EVLOG, evlog, table, with_views
+from ..operators import lease_machine, tasks, views
+from .bindings import BRANCHES, EVLOG, branches, evlog, table, with_views
 from .registry import query
 
 DAY_MS = 86_400_000
@@ -30,16 +30,46 @@ def claimable_tasks(spark, d):
     return tasks.next_claim(waiting.crossJoin(F.broadcast(now)), F.col("now_ms"))  # now is one row
 
 
-APPENDS = "appends AS (SELECT branch_id, seq, CASE WHEN event_id % 13 = 0 THEN epoch - 1 ELSE epoch END AS epoch, CASE WHEN event_id % 17 = 0 THEN seq + 1 ELSE seq END AS first_seq FROM evlog)"
+#: Signups claim the task; every 13th event holds the epoch before, every 17th begins one too far.
+APPENDS = """appends AS (SELECT branch_id, seq, type = 'signup' AS claims, epoch - 1 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS epoch,
+  count(*) FILTER (epoch > 1 AND type <> 'signup' AND event_id % 13 <> 0 AND event_id % 17 <> 0) OVER (PARTITION BY branch_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS first_seq FROM evlog),
+judged AS (SELECT branch_id, CAST(-1 AS BIGINT) AS seq, '' AS verdict, CAST(0 AS BIGINT) AS task_epoch, CAST(-1 AS BIGINT) AS head FROM evlog GROUP BY branch_id
+  UNION ALL SELECT branch_id, seq, verdict, task_epoch + CASE WHEN verdict = 'claimed' THEN 1 ELSE 0 END, head + CASE WHEN verdict = 'accepted' THEN 1 ELSE 0 END FROM
+  (SELECT a.branch_id, a.seq, j.task_epoch, j.head, CASE WHEN a.claims THEN 'claimed' WHEN j.task_epoch = 0 OR a.epoch <> j.task_epoch THEN 'stale epoch' WHEN a.first_seq <> j.head + 1 THEN 'conflict' ELSE 'accepted' END AS verdict
+   FROM judged j JOIN appends a ON a.branch_id = j.branch_id AND a.seq = j.seq + 1))"""
 
 
-@query(
-    with_views(EVLOG, APPENDS, "marked AS (SELECT *, coalesce(max(epoch) OVER (PARTITION BY branch_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS highest FROM appends)")
-    + "SELECT branch_id, seq, epoch, first_seq, CASE WHEN epoch < highest THEN 'stale epoch' WHEN first_seq <> seq THEN 'conflict' ELSE 'accepted' END AS verdict FROM marked"
-)
+def judged_appends(spark, d):
+    e, mark = evlog(spark, d), lambda n: (F.col("event_id") % n == 0).cast("int")
+    good = (F.col("epoch") > 1) & (F.col("type") != "signup") & (mark(13) == 0) & (mark(17) == 0)
+    sent = F.count(F.when(good, 1)).over(views.ordered().rowsBetween(Window.unboundedPreceding, -1))
+    log = e.select("branch_id", "seq", (F.col("type") == "signup").alias("claims"), (F.col("epoch") - 1 - mark(13)).alias("epoch"), (sent + mark(17)).alias("first_seq"))
+    return tasks.append_verdicts(log)
+
+
+@query(with_views(EVLOG, APPENDS) + "SELECT branch_id, seq, verdict, task_epoch, head FROM judged WHERE seq >= 0")
 def append_verdicts(spark, d):
-    marks = lambda n: (F.col("event_id") % n == 0).cast("int")
-    return tasks.append_verdicts(evlog(spark, d).select("branch_id", "seq", (F.col("epoch") - marks(13)).alias("epoch"), (F.col("seq") + marks(17)).alias("first_seq")))
+    return judged_appends(spark, d).select("branch_id", "seq", "verdict", "task_epoch", "head")
+
+
+@query(with_views(EVLOG, APPENDS) + "SELECT branch_id, count(*) FILTER (verdict = 'accepted') AS appends_accepted, count(*) FILTER (verdict = 'stale epoch') AS rejected_stale_epoch, count(*) FILTER (verdict = 'conflict') AS rejected_conflict FROM judged WHERE seq >= 0 GROUP BY branch_id")
+def fence_counters(spark, d):
+    return tasks.fence_counters(judged_appends(spark, d))
+
+
+@query(with_views(EVLOG, BRANCHES) + "SELECT e.branch_id, e.event_id % 3 AS name, count(*) AS consumed FROM evlog e JOIN branches b USING (branch_id) WHERE e.type = 'click' AND e.event_id % 2 = 0 AND e.seq >= coalesce(b.fork_seq, 0) GROUP BY 1, 2")
+def consumed_signals(spark, d):
+    received = evlog(spark, d).filter("type = 'click'").select("branch_id", "seq", (F.col("event_id") % 3).alias("name"), F.when(F.col("event_id") % 2 == 0, "inbox").otherwise("override").alias("source"))
+    return tasks.consumed_signals(received, branches(spark, d))
+
+
+@query("SELECT o_orderpriority AS queue, count(*) AS tasks FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderkey % 2 = 0) GROUP BY 1")
+def cancelled_tasks(spark, d):
+    """What is left in each queue after every second suspended run was cancelled."""
+    o = table(spark, d, "orders")
+    waiting = o.select(F.col("o_orderkey").alias("branch_id"), F.col("o_orderpriority").alias("queue"))
+    known = o.select(F.col("o_orderkey").alias("branch_id"), F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0), "cancelled").otherwise("running").alias("status"))
+    return tasks.without_cancelled(waiting, known).groupBy("queue").agg(F.count("*").alias("tasks"))
 
 
 @query(
@@ -109,9 +139,3 @@ def commands(spark, d):
 def lease_transitions(spark, d):
     """A fold whose state depends on every verdict before it: tests compare batch, stream and a plain loop."""
     return lease_machine.batch_verdicts(commands(spark, d), 30_000)
-
-
-@query()
-def simulate_invariants(spark, d):
-    """Seeded runs, one for each event; no invariant may break."""
-    return simulate.by_tier(simulate.simulate(table(spark, d, "events").select(F.col("event_id").alias("seed"))))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.canonical import canonical_json
+from ..operators import views
 from ..sources import ingest, schema
 from .bindings import EVLOG, TURNS, evlog, table, turns, with_views
 from .registry import query
@@ -113,16 +114,17 @@ PROMPT = "Answer briefly."
 
 @query(
     with_views(TURNS, "firsts AS (SELECT branch_id, min(seq) FILTER (role = 'system') AS at FROM turns GROUP BY branch_id)")
-    + f"""SELECT t.branch_id, string_agg(t.role || ': ' || CASE WHEN t.seq = f.at THEN '{PROMPT}' ELSE t.text END, chr(10) ORDER BY t.seq) AS body, bool_or(t.role = 'system') AS had_prompt,
+    + f"""SELECT t.branch_id, CASE WHEN bool_or(t.role = 'system') THEN '' ELSE 'system: {PROMPT}' || chr(10) END || string_agg(t.role || ': ' || CASE WHEN t.seq = f.at THEN '{PROMPT}' ELSE t.text END, chr(10) ORDER BY t.seq) AS body, bool_or(t.role = 'system') AS had_prompt,
   CASE WHEN bool_or(t.role = 'system') THEN count(*) ELSE count(*) + 1 END AS messages FROM turns t JOIN firsts f USING (branch_id) GROUP BY t.branch_id"""
 )
 def context_patch(spark, d):
-    """A prompt patch: the first system message is replaced; without one, one is put first (counted, not shown)."""
+    """A prompt patch: the first system message is replaced; without one, one is put first."""
     gathered = turns(spark, d).groupBy("branch_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text"))).alias("m"))
     at = F.array_position(F.transform("m", lambda x: x["role"]), "system") - 1
     shown = F.transform("m", lambda x, i: F.concat(x["role"], F.lit(": "), F.when(i == at, F.lit(PROMPT)).otherwise(x["text"])))
     had = at >= 0
-    return gathered.select("branch_id", F.array_join(shown, "\n").alias("body"), had.alias("had_prompt"), (F.size("m") + F.when(had, 0).otherwise(1)).cast("bigint").alias("messages"))
+    first = F.when(had, F.array().cast("array<string>")).otherwise(F.array(F.lit(f"system: {PROMPT}")))
+    return gathered.select("branch_id", F.array_join(F.concat(first, shown), "\n").alias("body"), had.alias("had_prompt"), (F.size("m") + F.when(had, 0).otherwise(1)).cast("bigint").alias("messages"))
 
 
 @query("SELECT event_id, 'order=' || event_id || ',user=' || user_id AS metadata FROM events")
@@ -146,3 +148,25 @@ def response_parse(spark, d):
 def row_defaults(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "pure").otherwise(F.col("event_type")).alias("class"), F.when(F.col("event_type") == "purchase", "committed").otherwise(F.col("event_type")).alias("state"))
     return ingest.decoded_effects(e)
+
+
+@query(
+    """SELECT p_partkey AS part, trim(p_name) AS model, CAST(floor(p_retailprice * 1000000) AS BIGINT) AS price_in, CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 2500000 ELSE 0 END::BIGINT AS price_out FROM part"""
+)
+def price_parse(spark, d):
+    """Prices as "model, dollars in, dollars out" a million tokens; what is missing or no number costs nothing."""
+    said = F.concat(F.col("p_name"), F.lit(" , "), F.col("p_retailprice").cast("string"), F.when(F.col("p_size") % 3 == 0, ", free").when(F.col("p_size") % 3 == 1, ",2.5 ").otherwise(""))
+    model, price_in, price_out = scalars.prices(said)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), model.alias("model"), price_in.alias("price_in"), price_out.alias("price_out"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END || CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 THEN chr(10) ELSE '' END || CASE WHEN event_id % 3 <> 0 THEN '→ ' || event_type || '(' || replace(props, ' ', '') || ')' ELSE '' END AS content FROM events"""
+)
+def model_content(spark, d):
+    """A model's answer as text: what it says, and a line for each call of a tool."""
+    call = F.concat(F.lit('{"name":"'), F.col("event_type"), F.lit('","arguments":'), F.col("props"), F.lit("}"))
+    calls = F.when(F.col("event_id") % 3 == 0, F.lit("[]")).otherwise(F.concat(F.lit("["), call, F.lit("]")))
+    said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.lit("null"))
+    response = F.concat(F.lit('{"content":'), said, F.lit(',"tool_calls":'), calls, F.lit("}"))
+    return table(spark, d, "events").select("event_id", views.model_content(response).alias("content"))

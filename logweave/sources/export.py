@@ -1,4 +1,4 @@
-"""Recordings: one nested document for each run, and JSON sinks."""
+"""Recordings: nested documents of runs or of single branches, and JSON sinks."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,14 @@ def recordings(runs: DataFrame, branches: DataFrame, events: DataFrame, exported
     return runs.join(nested, "run_id").select("run_id", document.alias("document"))
 
 
+def branch_documents(branches: DataFrame, events: DataFrame, exported_at_ms: int, schema: str = SCHEMA) -> DataFrame:
+    """run_id, branch_id and document: each branch with its own events in order, as a recording of one branch. So no task holds more than a branch."""
+    e = events.groupBy("branch_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "step_id", "epoch", "at_ms", "body"))).alias("events"))
+    branch = F.struct("created_at_ms", "depth", "branch_id", "parent_branch", "fork_seq", "events")
+    document = F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(exported_at_ms).alias("exported_at_ms"), F.struct("run_id").alias("run"), F.array(branch).alias("branches")))
+    return branches.join(e, "branch_id", "left").select("run_id", "branch_id", document.alias("document"))
+
+
 def write_recordings(documents: DataFrame, path: str) -> None:
     """One folder of JSON text a run."""
     documents.withColumnRenamed("document", "value").write.partitionBy("run_id").mode("overwrite").text(path)

@@ -3,8 +3,8 @@
 import random
 
 import pytest
-from logweave.functions import canonical, rng, scalars
-from logweave.operators import chain, diffing, effects, lease_machine, lineage, simulate, tasks, views
+from logweave.functions import canonical, scalars
+from logweave.operators import audit, chain, diffing, effects, lease_machine, lineage, replaying, tasks, views
 from logweave.sources import export, ingest, schema
 from logweave.streaming import task_stream
 from pyspark.sql import functions as F
@@ -24,11 +24,6 @@ def test_scalars(spark):
     assert list(row) == [125050, 12000, None, "ORD-1042", 2080, 0.0, 12.5, 3, None, 2]
 
 
-def test_splitmix_literals_and_uuid_layout():
-    assert int(rng.splitmix64([0])[0]) == 0xE220A8397B1DCDAF
-    assert rng.uuid4_from((1 << 64) - 1, (1 << 64) - 1)[14] == "4" and rng.uuid4_from(0, 0)[19] == "8"
-
-
 def log(n, branches=(1, 2)):
     return [(b, i, 1 + i // 4, 1000 * i, f'{{"n":{i}}}') for b in branches for i in range(n)]
 
@@ -106,12 +101,64 @@ def test_trajectory_keeps_one_sided_keys(spark):
     assert [x[2] for x in got if x[0] == 1].count("equal") == 1 and [x[2:] for x in got if x[0] != 1] == [("delete", "x#1"), ("insert", "z#1")]
 
 
-def test_simulation_holds_its_invariants_and_fails_when_the_provider_forgets_keys(spark):
-    seeds = spark.range(400).withColumnRenamed("id", "seed")
-    sound = simulate.by_tier(simulate.simulate(seeds))
-    assert sound.agg(F.sum("violations")).first()[0] == 0 and sound.agg(F.sum("stale")).first()[0] > 0
-    assert simulate.by_tier(simulate.simulate(seeds, dedupe=False)).agg(F.sum("violations")).first()[0] > 0
-    assert simulate.simulate_seed(5) == simulate.simulate_seed(5)
+def test_long_scripts_take_little_memory_and_counting_them_works(spark):
+    import tracemalloc
+
+    r = random.Random(8)
+    for a, b in (([f"a{i}" for i in range(5000)], [f"b{i}" for i in range(5000)]), ([r.choice("abcdefgh") for _ in range(3000)], [r.choice("abcdefgh") for _ in range(3000)])):
+        tracemalloc.start()
+        script = diffing.edit_script(a, b)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+        tracemalloc.stop()
+        assert [b[y] if op == "insert" else a[x] for op, x, y in script if op != "delete"] == b
+    a = spark.createDataFrame([(1, 0, "x#1"), (2, 0, "x#1")], "k long, seq long, step_id string")
+    assert diffing.trajectory(a, a.filter("k = 1"), "k").count() == 2
+
+
+def test_refused_refunds_dont_count(spark):
+    refunds = spark.createDataFrame([(1, n, c) for n, c in enumerate([60, 50, 40, 1])], "payment long, line long, cents long")
+    found = audit.over_cap(spark.createDataFrame([(1, 100)], "payment long, cents long"), refunds, ["line"]).orderBy("line").collect()
+    assert [(r["so_far"], r["over"]) for r in found] == [(60, False), (110, True), (100, False), (101, True)]
+
+
+def test_appends_are_fenced_by_the_task_and_follow_the_accepted_head(spark):
+    rows = [("append", 0, 0, "stale epoch"), ("claim", 0, 0, "claimed"), ("append", 1, 0, "accepted"), ("append", 1, 2, "conflict"), ("append", 5, 1, "stale epoch"), ("append", 1, 1, "accepted"), ("claim", 0, 0, "claimed"), ("append", 1, 2, "stale epoch"), ("append", 2, 2, "accepted")]
+    log = spark.createDataFrame([(1, n, c == "claim", e, f) for n, (c, e, f, _) in enumerate(rows)], "branch_id long, seq long, claims boolean, epoch long, first_seq long")
+    found = tasks.append_verdicts(log)
+    assert [r["verdict"] for r in found.orderBy("seq").collect()] == [x[-1] for x in rows]
+    assert tuple(tasks.fence_counters(found).first()) == (1, 3, 3, 1)
+
+
+def test_parents_in_a_cycle_raise(spark):
+    b = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "branch_id long, parent_branch long, fork_seq long")
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.closure(b)
+
+
+def test_details_by_type(spark):
+    rows = [
+        ("RunStarted", '{"workflow":"w","workflow_version":"2"}', "w@2"), ("LlmCompleted", '{"response":{"model":"m","content":"hi","tool_calls":[{"name":"f"},{"name":"g"}]}}', "m →f →g “hi”"),
+        ("LlmCompleted", '{"response":{"model":"m","content":null,"tool_calls":[]}}', "m "), ("EffectIntent", '{"adapter":"a","tier":"B","idem_key":"run_0123456789abc","simulated":true}', "a tier B key run_012345678… (simulated)"),
+        ("TimerSet", '{"fire_at_ms":7}', "fires at 7"), ("EffectAborted", '{"error":"' + "x" * 100 + '"}', "x" * 89 + "…"), ("Other", '{"k":1}', '{"k":1}'), ("Forked", '{"from_step":"s#1","overrides":{"model":"m"}}', 'from s#1 {"model":"m"}'),
+    ]
+    df = spark.createDataFrame(rows, "kind string, body string, line string")
+    assert [r["got"] for r in df.select(views.detail(F.col("kind"), F.col("body")).alias("got")).collect()] == [x[2] for x in rows]
+
+
+def test_a_replay_with_another_output_is_not_clean(spark):
+    verdicts = spark.createDataFrame([(p, "s#1", "replayed") for p in (1, 2, 3)], "pair long, step_id string, verdict string")
+    chains = spark.createDataFrame([(p, None) for p in (1, 2, 3)], "pair long, error string")
+    outputs = spark.createDataFrame([(1, "x", "x"), (2, "x", "y"), (3, None, "y")], "pair long, recorded string, output string")
+    found = replaying.report(verdicts, chains, outputs, "pair", "step_id").orderBy("pair").collect()
+    assert [(r["output_matches"], r["clean"]) for r in found] == [(True, True), (False, False), (None, True)]
+
+
+def test_branch_documents_come_back(spark, tmp_path):
+    b = spark.createDataFrame([("r", "b1", None, None, 0, 5), ("r", "b2", "b1", 1, 1, 6)], "run_id string, branch_id string, parent_branch string, fork_seq long, depth int, created_at_ms long")
+    e = spark.createDataFrame([("b1", 1, "X", "x#1", 1, 7, "{}"), ("b1", 0, "RunStarted", None, 0, 5, "{}")], "branch_id string, seq long, type string, step_id string, epoch long, at_ms long, body string")
+    export.branch_documents(b, e, 9).select("document").withColumnRenamed("document", "value").write.text(f"{tmp_path}/out")
+    branches, events = export.read_recordings(spark, f"{tmp_path}/out")
+    assert sorted((r["run_id"], r["branch_id"], r["fork_seq"]) for r in branches.collect()) == [("r", "b1", None), ("r", "b2", 1)] and [r["seq"] for r in events.orderBy("seq").collect()] == [0, 1]
 
 
 def test_recordings_come_back(spark, tmp_path):
