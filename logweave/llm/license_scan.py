@@ -1,12 +1,14 @@
 """Operator 1: license scan by an exact set-similarity join, in DataFrame functions alone.
 
-Base: every place of a few phrases in the words of a whole text. Method: a text block (a line) carries a template's label if
-it contains at least `threshold` of the template's distinct words. The join:
+Base: every place of a few phrases in the words of a whole text. Method: a text block carries a template's label if
+it contains at least `threshold` of the template's distinct words. Blocks are windows of words, whatever the lines: a template of up to s words
+(s a power of two) is looked for in windows of 2 * s words that begin at every s-th word. So a notice of up to s + 1 words lies whole in a block
+however it is wrapped, and words scattered over a long line don't meet. The join:
 
 1. One pass counts the documents that hold each template word; words are ranked from rare to frequent, ties by name.
 2. A block that shares alpha = ceil(threshold * |T|) words with template T shares one of T's |T| - alpha + 1 rarest.
-   One pass over the texts computes the base columns, and keeps the text of documents that hold such a prefix word.
-3. Their blocks become sorted arrays of ranks. Words outside all templates can't add to an overlap and are left out, which
+   One pass over the texts computes the base columns, and keeps the words of documents that hold such a prefix word.
+3. Their blocks that hold a prefix word become sorted arrays of ranks. Words outside all templates can't add to an overlap and are left out, which
    makes the length filter tighter. Blocks meet templates on prefix words, under the length filter |B| >= alpha, the
    prefix filter on the block's side, and the positional filter min(|T| - i, |B| - j) >= alpha.
 4. The overlap of each surviving pair is computed exactly.
@@ -60,8 +62,17 @@ def least_overlap(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def template_sets(templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
-    return [(i, label, sorted(set(words_of(text)))) for i, (label, text) in enumerate(templates)]
+def template_sets(templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str], int]]:
+    """Number, label, distinct words, and the step of the windows: the least power of two that isn't below the number of words."""
+    found = [(i, label, words_of(text)) for i, (label, text) in enumerate(templates)]
+    return [(i, label, sorted(set(own)), 1 << max(len(own) - 1, 0).bit_length()) for i, label, own in found]
+
+
+def windows(all_words: Column, step: int, prefix_words: list[str]) -> Column:
+    """step, block and own words of the windows that hold a prefix word."""
+    starts = F.sequence(F.lit(0), F.expr(f"(greatest(size(words), 1) - 1) div {step}").cast("int"))
+    cut = F.transform(starts, lambda k: F.struct(F.lit(step).alias("step"), k.alias("block"), F.slice(all_words, k * step + 1, F.lit(2 * step)).alias("own")))
+    return F.filter(cut, lambda b: F.exists(b["own"], lambda w: w.isin(prefix_words)))
 
 
 def _strings(values) -> Column:
@@ -97,35 +108,36 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = template_sets(templates)
-    rank = ranks(docs, sorted({w for _, _, s in sets for w in s}))
+    rank = ranks(docs, sorted({w for _, _, s, _ in sets for w in s}))
     prefixes, whole = [], []
-    for i, label, own in sets:
+    for i, label, own, step in sets:
         order = sorted(rank[w] for w in own)
         alpha = least_overlap(len(order), threshold)
-        prefixes += [(i, r, k, len(order), alpha) for k, r in enumerate(order[: len(order) - alpha + 1])]
+        prefixes += [(i, step, r, k, len(order), alpha) for k, r in enumerate(order[: len(order) - alpha + 1])]
         whole.append((i, label, order, alpha))
     by_rank = {r: w for w, r in rank.items()}
-    prefix_words = sorted({by_rank[p[1]] for p in prefixes})
+    prefix_words = {step: sorted({by_rank[p[2]] for p in prefixes if p[1] == step}) for step in sorted({p[1] for p in prefixes})}
 
     texts = docs.withColumn("low", lowered(F.col("text"))).withColumn("words", words(F.col("low")))
     names = [f"at{i}" for i, _ in enumerate(phrases)]
     found = texts.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.size("words").cast("long").alias("n_words"),
         *[c.alias(n) for c, n in zip(_places(F.col("words"), [p for p, _ in phrases]), names)],
-        F.when(F.arrays_overlap("words", _strings(prefix_words)), F.col("low")).alias("low"),
+        F.when(F.arrays_overlap("words", _strings(sorted(set().union(*prefix_words.values())))), F.col("words")).alias("words"),
     )
     every = F.flatten(F.array(*names))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(n) > 0, F.lit(label)) for n, (_, label) in zip(names, phrases)]))))
-    found = found.select("doc_id", "text_hash", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"), "low")
+    found = found.select("doc_id", "text_hash", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"), "words")
     found = cut_lineage(found)
 
     numbered = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    blocks = found.filter("low is not null").select("doc_id", "text_hash", "low").distinct().select("doc_id", "text_hash", F.posexplode(F.split("low", "\n")).alias("block", "line"))
-    blocks = blocks.select("doc_id", "text_hash", "block", F.array_sort(F.transform(F.array_intersect(words(F.col("line")), _strings(list(rank))), lambda w: F.element_at(numbered, w))).alias("tokens"))
-    probes = blocks.select("doc_id", "text_hash", "block", "tokens", F.size("tokens").alias("size"), F.posexplode("tokens").alias("j", "token"))
-    index = spark.createDataFrame(prefixes, "template int, token int, i int, of int, alpha int")
+    cut = F.concat(*[windows(F.col("words"), step, own) for step, own in prefix_words.items()]) if prefix_words else F.expr("filter(array(struct(0 as step, 0 as block, words as own)), x -> false)")
+    blocks = found.filter("words is not null").select("doc_id", "text_hash", F.explode(cut).alias("b")).select("doc_id", "text_hash", "b.*")
+    blocks = blocks.select("doc_id", "text_hash", "step", "block", F.array_sort(F.transform(F.array_intersect("own", _strings(list(rank))), lambda w: F.element_at(numbered, w))).alias("tokens"))
+    probes = blocks.select("doc_id", "text_hash", "step", "block", "tokens", F.size("tokens").alias("size"), F.posexplode("tokens").alias("j", "token"))
+    index = spark.createDataFrame(prefixes, "template int, step int, token int, i int, of int, alpha int")
     fits = (F.col("size") >= F.col("alpha")) & (F.col("j") <= F.col("size") - F.col("alpha")) & (F.least(F.col("of") - F.col("i"), F.col("size") - F.col("j")) >= F.col("alpha"))
-    pairs = probes.join(F.broadcast(index), "token").filter(fits).select("doc_id", "text_hash", "block", "tokens", "template").distinct()
+    pairs = probes.join(F.broadcast(index), ["step", "token"]).filter(fits).select("doc_id", "text_hash", "block", "tokens", "template").distinct()
     chosen = spark.createDataFrame(whole, "template int, label string, wanted array<int>, alpha int")
     overlap = F.size(F.array_intersect("tokens", "wanted"))
     matches = pairs.join(F.broadcast(chosen), "template").filter(overlap >= F.col("alpha"))
@@ -143,7 +155,7 @@ def sql(templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, s
     """The same rows in DuckDB's SQL, with every block compared to every template."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda own: "[" + ", ".join(map(quote, own)) + "]"
-    rows = ", ".join(f"({quote(label)}, {listed(own)}, {least_overlap(len(own), threshold)})" for _, label, own in template_sets(templates))
+    rows = ", ".join(f"({quote(label)}, {listed(own)}, {least_overlap(len(own), threshold)}, {step})" for _, label, own, step in template_sets(templates))
     at = []
     for phrase, label in phrases:
         parts = words_of(phrase)
@@ -154,10 +166,11 @@ split AS (SELECT doc_id, low, regexp_extract_all(low, '{WORD}') AS w FROM texts)
 placed AS (SELECT doc_id, low, len(w) AS n_words, {", ".join(f"{e} AS p{i}" for i, (_, e) in enumerate(at))} FROM split),
 base AS (SELECT doc_id, low, n_words, flatten([{", ".join(f"p{i}" for i, _ in enumerate(at))}]) AS p,
   list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN {quote(label)} END" for i, (label, _) in enumerate(at))}], lambda x: x IS NOT NULL) AS b FROM placed),
-templates AS (SELECT * FROM (VALUES {rows}) AS t(label, wanted, alpha)),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS own FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM texts)),
+templates AS (SELECT * FROM (VALUES {rows}) AS t(label, wanted, alpha, step)),
+steps AS (SELECT DISTINCT step FROM templates),
+blocks AS (SELECT doc_id, step, list_distinct(w[b + 1 : b + 2 * step]) AS own FROM (SELECT doc_id, w, step, unnest(range(0, greatest(len(w), 1), step)) AS b FROM split, steps)),
 matches AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / len(wanted)) AS best FROM
-  (SELECT doc_id, label, wanted, alpha, len(list_intersect(own, wanted)) AS n FROM blocks, templates) WHERE n >= alpha GROUP BY doc_id)
+  (SELECT doc_id, label, wanted, alpha, len(list_intersect(own, wanted)) AS n FROM blocks JOIN templates USING (step)) WHERE n >= alpha GROUP BY doc_id)
 SELECT doc_id, n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word,
   array_to_string(list_sort(b), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels,

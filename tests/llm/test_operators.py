@@ -58,6 +58,21 @@ def test_license_scan_equals_comparing_every_block_with_every_template(spark, du
     assert got[2]["base_labels"] == "cc-by,reserved" and got[2]["n_base"] == 3 and (got[2]["first_word"], got[2]["last_word"]) == (0, 6)
 
 
+def test_wrapped_notices_are_found_and_scattered_words_are_not(spark):
+    r = random.Random(2)
+    fill = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    texts, expected = [], []
+    for label, text in license_scan.TEMPLATES:
+        for width in (1, 3, 7):
+            own = text.split()
+            wrapped = "\n".join(" ".join(own[i : i + width]) for i in range(0, len(own), width))
+            texts.append(f"{fill(r.randrange(70))}\n{wrapped}\n{fill(r.randrange(70))}")
+            expected.append(label)
+    scattered = " ".join(f"{w} {fill(60)}" for w in license_scan.words_of("Released under the MIT License"))
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(docs_of(spark, [*texts, scattered, fill(5000)])).collect()}
+    assert all(label in got[i] for i, label in enumerate(expected)) and got[len(texts)] == got[len(texts) + 1] == [""]
+
+
 def test_license_scan_on_the_tables(spark, duck):
     duck[1](queries.op1_license_scan(spark, duck[0]), queries.oracle_sql()["op1_license_scan"])
 
