@@ -54,11 +54,13 @@ def apply(s: State, command: str, at_ms: int, epoch: int, first_seq: int, events
 
 
 def fold(rows: pd.DataFrame, state: State, lease_ms: int) -> tuple[pd.DataFrame, State]:
-    out = []
-    for r in rows.sort_values("n").itertuples(index=False):
-        state, verdict = apply(state, r.command, int(r.at_ms), int(r.epoch), int(r.first_seq), int(r.events), int(r.until_ms), lease_ms)
-        out.append((r.branch_id, r.n, r.command, verdict, state.epoch, state.head, state.attempts))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in VERDICTS.split(", ")]), state
+    """Verdicts of one branch's commands, in the order of n."""
+    rows, out = rows.sort_values("n"), []
+    for values in zip(*(rows[c].tolist() for c in ("command", "at_ms", "epoch", "first_seq", "events", "until_ms"))):
+        state, verdict = apply(state, *values, lease_ms)
+        out.append((verdict, state.epoch, state.head, state.attempts))
+    found = dict(zip(("verdict", "epoch", "head", "attempts"), zip(*out))) if out else {c: [] for c in ("verdict", "epoch", "head", "attempts")}
+    return pd.DataFrame({"branch_id": rows["branch_id"].to_numpy(), "n": rows["n"].to_numpy(), "command": rows["command"].to_numpy(), **found}), state
 
 
 def batch_verdicts(commands: DataFrame, lease_ms: int) -> DataFrame:

@@ -87,3 +87,29 @@ def terminal(events: DataFrame, kinds: list[str]) -> DataFrame:
     """The last terminal event of each branch decides what recovery does; null for branches without one."""
     ends = F.when(F.col("type").isin(kinds), F.col("seq"))
     return events.groupBy("branch_id").agg(F.max_by("type", ends).alias("terminal"), F.max(ends).alias("at_seq"), F.max("seq").alias("head"))
+
+
+def slice_outcome(status, terminal, attempts, most: int, result, now_ms, until_ms) -> Column:
+    """What becomes of a task after a worker's slice: outcome, the branch's next status, and when it may be claimed again (null: never, or unchanged).
+
+    In this order: a cancelled branch is left alone; a terminal event that stands already is finished; too many claims without progress
+    quarantine; then the result decides: done, until (a time), diverged, tip, fenced, transient, in doubt, nondeterminism, or another error.
+    A transient error waits 1 s, doubled with each attempt up to the eighth."""
+    text = lambda x: F.lit(x).cast("string")
+    made = lambda outcome, to=None, at=None: F.struct(text(outcome).alias("outcome"), text(to).alias("next_status"), (F.lit(None).cast("bigint") if at is None else at).alias("visible_at_ms"))
+    wait = (F.pow(F.lit(2), F.least(F.col(attempts), F.lit(8))) * 1000).cast("bigint")
+    return (
+        F.when(F.col(status) == "cancelled", made("noop"))
+        .when(F.col(terminal) == "RunCompleted", made("finished", "completed")).when(F.col(terminal) == "RunFailed", made("finished", "failed")).when(F.col(terminal) == "RunCancelled", made("finished", "cancelled"))
+        .when(F.col(attempts) > most, made("parked", "quarantined"))
+        .when(F.col(result) == "done", made("completed", "completed")).when(F.col(result) == "until", made("suspended", "suspended", F.col(until_ms)))
+        .when(F.col(result).isin("diverged", "tip", "nondeterminism"), made("parked", "quarantined")).when(F.col(result) == "in doubt", made("parked", "in_doubt"))
+        .when(F.col(result).isin("fenced", "none"), made("abandoned")).when(F.col(result) == "transient", made("retrying", None, F.col(now_ms) + wait))
+        .otherwise(made("failed", "failed"))
+    )
+
+
+def recorded_values(asked: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """For steps that ask for a time, a random number or an id: the first value recorded for the step, or null beyond the tip. recorded: keys, seq, value."""
+    first = recorded.groupBy(*keys).agg(F.min_by("value", "seq").alias("value"))
+    return asked.join(first, keys, "left")

@@ -106,3 +106,9 @@ def detail(kind, body, size: int = 90) -> Column:
     for name, line in lines.items():
         out = out.when(kind == name, line)
     return out.otherwise(cut(body))
+
+
+def wire_body(model, messages, max_tokens=None) -> Column:
+    """A request as JSON text. messages: an array of structs (role, content, and where there are any tool_calls and tool_call_id); what is null is left out."""
+    fields = [model.alias("model"), messages.alias("messages")] + ([] if max_tokens is None else [max_tokens.alias("max_completion_tokens")])
+    return F.to_json(F.struct(*fields))

@@ -139,3 +139,37 @@ def commands(spark, d):
 def lease_transitions(spark, d):
     """A fold whose state depends on every verdict before it: tests compare batch, stream and a plain loop."""
     return lease_machine.batch_verdicts(commands(spark, d), 30_000)
+
+
+RESULTS = ['done', 'until', 'diverged', 'tip', 'fenced', 'transient', 'in doubt', 'nondeterminism', 'error', 'none']
+
+
+@query(
+    with_views(EVLOG, f"""slices AS (SELECT branch_id, seq, at_ms, CASE WHEN event_id % 29 = 0 THEN 'cancelled' ELSE 'running' END AS status, CASE WHEN event_id % 23 = 0 THEN 'RunCompleted' WHEN event_id % 19 = 0 THEN 'RunFailed' END AS terminal,
+  event_id % 7 AS attempts, {RESULTS}[1 + event_id % 10] AS result FROM evlog)""")
+    + """SELECT branch_id, seq,
+  CASE WHEN status = 'cancelled' THEN 'noop' WHEN terminal IS NOT NULL THEN 'finished' WHEN attempts > 5 THEN 'parked' WHEN result = 'done' THEN 'completed' WHEN result = 'until' THEN 'suspended'
+    WHEN result IN ('diverged', 'tip', 'nondeterminism', 'in doubt') THEN 'parked' WHEN result IN ('fenced', 'none') THEN 'abandoned' WHEN result = 'transient' THEN 'retrying' ELSE 'failed' END AS outcome,
+  CASE WHEN status = 'cancelled' THEN NULL WHEN terminal = 'RunCompleted' THEN 'completed' WHEN terminal = 'RunFailed' THEN 'failed' WHEN attempts > 5 THEN 'quarantined' WHEN result = 'done' THEN 'completed' WHEN result = 'until' THEN 'suspended'
+    WHEN result IN ('diverged', 'tip', 'nondeterminism') THEN 'quarantined' WHEN result = 'in doubt' THEN 'in_doubt' WHEN result IN ('fenced', 'none', 'transient') THEN NULL ELSE 'failed' END AS next_status,
+  CASE WHEN status = 'cancelled' OR terminal IS NOT NULL OR attempts > 5 THEN NULL WHEN result = 'until' THEN at_ms + 9000 WHEN result = 'transient' THEN at_ms + CAST(1000 * power(2, attempts) AS BIGINT) END AS visible_at_ms FROM slices"""
+)
+def slice_outcomes(spark, d):
+    e = evlog(spark, d).withColumns({
+        "status": F.when(F.col("event_id") % 29 == 0, "cancelled").otherwise("running"), "terminal": F.when(F.col("event_id") % 23 == 0, "RunCompleted").when(F.col("event_id") % 19 == 0, "RunFailed"),
+        "attempts": F.col("event_id") % 7, "result": F.element_at(F.array(*map(F.lit, RESULTS)), (1 + F.col("event_id") % 10).cast("int")), "until_ms": F.col("at_ms") + 9000,
+    })
+    return e.select("branch_id", "seq", tasks.slice_outcome("status", "terminal", "attempts", 5, "result", "at_ms", "until_ms").alias("o")).select("branch_id", "seq", "o.*")
+
+
+@query(
+    with_views(EVLOG, """asked AS (SELECT branch_id, unnest(range(1, 13)) AS n FROM evlog GROUP BY branch_id),
+recorded AS (SELECT branch_id, row_number() OVER (PARTITION BY branch_id ORDER BY seq) AS n, at_ms AS value FROM evlog WHERE type = 'view')""")
+    + "SELECT a.branch_id, CAST(a.n AS INTEGER) AS n, r.value FROM asked a LEFT JOIN recorded r ON r.branch_id = a.branch_id AND r.n = a.n"
+)
+def recorded_values(spark, d):
+    """The nth time that a branch asks for is the nth that it recorded."""
+    e = evlog(spark, d)
+    asked = e.select("branch_id").distinct().select("branch_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("n"))
+    recorded = e.filter("type = 'view'").select("branch_id", F.row_number().over(views.ordered()).alias("n"), "seq", F.col("at_ms").alias("value"))
+    return tasks.recorded_values(asked, recorded, ["branch_id", "n"])

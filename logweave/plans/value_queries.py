@@ -170,3 +170,17 @@ def model_content(spark, d):
     said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.lit("null"))
     response = F.concat(F.lit('{"content":'), said, F.lit(',"tool_calls":'), calls, F.lit("}"))
     return table(spark, d, "events").select("event_id", views.model_content(response).alias("content"))
+
+
+@query(
+    with_views(TURNS)
+    + """SELECT branch_id, to_json({'model': 'large-1', 'messages': list({'role': role, 'content': text} ORDER BY seq), 'max_completion_tokens': 256}) ->> '$.model' AS model, CAST(len(list(role)) AS INTEGER) AS messages,
+  sha256(string_agg(role || chr(1) || text, chr(2) ORDER BY seq)) AS digest FROM turns GROUP BY branch_id"""
+)
+def wire_bodies(spark, d):
+    """Requests as the model's service takes them, read back from their JSON."""
+    gathered = turns(spark, d).groupBy("branch_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct("role", F.col("text").alias("content")).alias("m")))).alias("all"))
+    body = views.wire_body(F.lit("large-1"), F.transform("all", lambda x: x["m"]), F.lit(256))
+    parsed = F.from_json(body, "struct<model:string,messages:array<struct<role:string,content:string>>,max_completion_tokens:int>")
+    said = F.array_join(F.transform(parsed["messages"], lambda m: F.concat(m["role"], F.lit("\x01"), m["content"])), "\x02")
+    return gathered.select("branch_id", parsed["model"].alias("model"), F.size(parsed["messages"]).alias("messages"), F.sha2(said, 256).alias("digest"))

@@ -40,3 +40,8 @@ def read_recordings(spark, path: str, schema: str = SCHEMA) -> tuple[DataFrame,
     branch = f"struct<created_at_ms:bigint,depth:int,branch_id:string,parent_branch:string,fork_seq:bigint,events:array<{event}>>"
     parsed = checked.select(F.from_json("value", f"struct<run:struct<run_id:string>,branches:array<{branch}>>").alias("r")).select("r.run.run_id", F.explode("r.branches").alias("b"))
     return parsed.select("run_id", "b.*").drop("events"), parsed.select("b.branch_id", F.explode("b.events").alias("e")).select("branch_id", "e.*")
+
+
+def append_json_lines(rows: DataFrame, path: str) -> None:
+    """Annotations and reports: one JSON object a row, added to what the folder holds; null fields are left out. ingest.json_lines reads them back."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)

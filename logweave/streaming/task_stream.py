@@ -25,6 +25,16 @@ def verdict_stream(commands: DataFrame, lease_ms: int) -> DataFrame:
     return commands.groupBy("branch_id").applyInPandasWithState(step, VERDICTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def append_accepted(verdicts: DataFrame, path: str):
+    """A writer that adds accepted appends to a table of Parquet folders, one for each micro-batch. A batch that runs again after a lost executor or a restart
+    writes its own folder anew, so each append is there once."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.filter("command = 'append' and verdict = 'accepted'").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return verdicts.writeStream.outputMode("append").foreachBatch(sink)
+
+
 def answered_once(requests: DataFrame, key: str, at: str, late: str) -> DataFrame:
     """The first request of a key passes, repeats within the watermark are dropped; state is bounded by the watermark."""
     return requests.withWatermark(at, late).dropDuplicatesWithinWatermark([key])

@@ -68,6 +68,11 @@ def test_contract_script_in_batch_and_stream(spark, tmp_path):
     source = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 10).parquet(f"{tmp_path}/in")
     task_stream.verdict_stream(source, 2000).writeStream.format("memory").queryName("verdicts").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("verdicts").collect()) == batch
+    again = spark.readStream.schema(commands.schema).parquet(f"{tmp_path}/in")
+    for _ in range(2):  # a restart adds nothing
+        task_stream.append_accepted(task_stream.verdict_stream(again, 2000), f"{tmp_path}/log").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination(120)
+    kept = spark.read.parquet(f"{tmp_path}/log")
+    assert sorted((r["branch_id"], r["n"]) for r in kept.collect()) == [(r[0], r[1]) for r in batch if r[2] == "append" and r[3] == "accepted"]
 
 
 def test_streams_answer_once_and_window_late_rows(spark, tmp_path):
@@ -184,6 +189,14 @@ def test_json_lines_strict_and_lenient(spark, tmp_path):
     assert ingest.json_documents(spark, f"{tmp_path}/orders.json", schema.ORDERS).count() == 2
 
 
+def test_json_lines_are_added(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "kill", None), (2, "wake", "a")], "at_ms long, kind string, reason string")
+    for part in ("at_ms = 1", "at_ms = 2"):
+        export.append_json_lines(notes.filter(part), f"{tmp_path}/notes")
+    back = ingest.json_lines(spark, f"{tmp_path}/notes", schema.ANNOTATIONS).select("at_ms", "kind", "reason").orderBy("at_ms").collect()
+    assert [tuple(r) for r in back] == [(1, "kill", None), (2, "wake", "a")]
+
+
 def test_effects_and_tasks(spark):
     rows = spark.createDataFrame([("k", "a", "e1", 1), ("k", "b", None, 2)], "idem_key string, state string, external_ref string, seq long")
     assert [tuple(r) for r in effects.latest_state(rows, "idem_key", ["seq"]).collect()] == [("k", "b", "e1", 2)]
