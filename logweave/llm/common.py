@@ -118,6 +118,7 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None,
     """rows joined with table (one row a key), inner or left. Rows of hot keys meet their rows of table by broadcast, so that no task gets all rows of a key."""
     if hot is None:
         return rows.join(table, key, how)
+    hot = hot.toDF(key)
     few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))  # HOT rows at most
     there = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
     return there.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))

@@ -213,6 +213,15 @@ def test_token_counts_by_chunks_equal_the_library(spark):
     assert [r["n_bytes"] for r in got] == [len((t or "").encode()) for t in texts] and got[1]["over_limit"]
 
 
+def test_components_with_nodes_that_most_edges_share(spark):
+    hub = spark.range(1, 12_000).selectExpr("0L - id as a", "-20000L as b").union(spark.range(50).selectExpr("id + 1 as a", "id as b"))
+    found = simhash.components(hub.union(hub.selectExpr("b", "a")))
+    assert sorted(map(tuple, found.groupBy("comp").count().collect())) == [(-20000, 12_000), (0, 51)]
+    docs = spark.range(12_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same few words', concat('word', id, ' of text ', id * 7)) as text")
+    got = simhash.near_duplicates(docs).filter("doc_id % 3 = 0")
+    assert got.count() == 4000 and got.select("fingerprint", "component_id").distinct().count() == 1
+
+
 def test_encoder_with_a_memo_smaller_than_a_batch():
     first, second = ([" ".join(f"{'ab'[k % 2]}x{k}é" for k in range(a, b))] for a, b in ((0, 6), (4, 14)))
     encoder = word_encoder.WordEncoder(capacity=16)
