@@ -23,7 +23,7 @@ def closure(branches: DataFrame) -> DataFrame:
         if step > most:
             raise ValueError("the parents of branches form a cycle")
         further = reach.join(jumps, F.col("ancestor") == F.col("start")).select("branch_id", F.col("stop").alias("ancestor"), (F.col("distance") + step).alias("distance"), F.least("upto", "low").alias("upto"))
-        reach = reach.unionByName(further)
+        reach = cut_lineage(reach.unionByName(further))  # else each round would compute all rounds before it again, twice
         second = jumps.toDF("start2", "stop2", "low2")
         jumps = jumps.join(second, F.col("stop") == F.col("start2")).select("start", F.col("stop2").alias("stop"), F.least("low", "low2").alias("low"))
         step *= 2
