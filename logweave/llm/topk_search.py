@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 ROUND = 8
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+#: Shares of the lists that are read before bounds are compared. A shard's queries begin where the one before them stopped.
+DEPTHS = tuple(i / 16 for i in range(1, 17))
 _FOUND = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -52,6 +52,7 @@ class Shard:
         order = np.argsort(ids, kind="stable")  # so that a stable order by score goes to the smaller vec_id
         self.ids, self.values = ids[order], values[order]
         self.kind = None
+        self.start = [0, 0]  # of DEPTHS, the one at which bounds are first compared, where a threshold is known and where not
         self.read = self.resolved = 0  # entries of lists, and what was resolved at the end
 
     def search(self, asks: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int):
@@ -78,21 +79,21 @@ class Shard:
         both = threshold == -np.inf  # the worst ends, which give lower bounds, are read where no threshold is known
         alive = self.ids != own_id
         sums, done = np.zeros(n), 0
-        seen: list[tuple[np.ndarray, np.ndarray]] = []  # rows, and the lists in which they were seen
-        for share in DEPTHS:
-            depth = int(np.ceil(share * n / (1 + both)))
+        seen: list[tuple[np.ndarray, np.ndarray, int]] = []  # rows list by list, the lists, and how many rows each
+        for i in range(self.start[both], len(DEPTHS)):
+            depth = int(np.ceil(DEPTHS[i] * n / (1 + both)))
             for best in (True, False)[: 1 + both]:
                 end = depth if best else min(depth, n - depth)  # the ends don't overlap
                 if end > done:
                     rows, parts = self._entries(rough, *((up, down) if best else (down, up)), done, end)
                     sums += np.bincount(rows, parts, n)
-                    seen.append((rows, np.repeat(np.concatenate([up, down] if best else [down, up]), end - done)))
+                    seen.append((rows, np.concatenate([up, down] if best else [down, up]), end - done))
             done = depth
             last = depth >= n or both and 2 * depth >= n
             greatest, least = self.sorted[:, n - 1 - min(depth, n - 1)], self.sorted[:, min(depth, n - 1)]
             high = np.where(query > 0, greatest, least) * rough
             low = (np.where(query > 0, least, greatest) if both else np.where(query > 0, self.sorted[:, 0], self.sorted[:, -1])) * rough
-            seen_of = lambda bound: sum(np.bincount(rows, bound[lists], n) for rows, lists in seen)
+            seen_of = lambda bound: sum(np.bincount(rows, np.repeat(bound[lists], size), n) for rows, lists, size in seen)
             if not (both or last) and high.sum() >= threshold:
                 continue  # rows that no list has shown may still qualify
             room = 1e-9 * (np.abs(high).sum() + np.abs(low).sum() + np.abs(sums)) + 1e-3
@@ -102,10 +103,11 @@ class Shard:
                 if len(lower) >= k:
                     threshold = max(threshold, np.partition(lower, len(lower) - k)[len(lower) - k])
             alive &= upper >= threshold
-            if last or alive.sum() <= max(4 * k, n // 16):
+            left, few = alive.sum(), max(4 * k, n // 16)
+            if last or left <= few:
+                # The next query first compares bounds where this one stopped, or a step before if this one went further than it had to.
+                self.start[both] = max(i - 1, 0) if i == self.start[both] and 4 * left <= few else i
                 break
-            if 2 * alive.sum() < n:  # what can't qualify isn't summed again
-                seen = [(rows[alive[rows]], lists[alive[rows]]) for rows, lists in seen]
         rows = np.flatnonzero(alive)  # none but these can qualify
         self.resolved += len(rows) * (len(up) + len(down))
         final = self.exact[rows] @ query.astype(self.kind)
