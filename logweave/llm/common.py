@@ -59,8 +59,14 @@ def slices(batch: pa.RecordBatch):
         yield batch.slice(i, rows)
 
 
+#: Of Python workers: numpy's matrix products start no threads beside Spark's tasks, and freed memory goes back to the system.
+WORKERS = {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session: of long texts, the default of 10,000 can be more than an executor holds. A smaller setting stays."""
+    """Arrow batches of at most BATCH_ROWS rows in this session: of long texts, the default of 10,000 can be more than an executor holds. A smaller setting stays. And WORKERS, where they aren't set."""
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * SLICE_BYTES)):
         now = (spark.conf.get(name, None) or "").rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:  # sizes with units are read as unset

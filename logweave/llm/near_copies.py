@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, filter_rows, map_batches, may_be_in
+from .common import cut_lineage, hot_keys, join_hot, map_batches, may_be_in
 from .simhash import components, links, majority, shingle_hashes
 
 #: The sample that ranks common shingles: SAMPLE texts, but at most every eighth; COMMON shingles are broadcast.
 SAMPLE, COMMON = 400_000, 500_000
-STAR = 64
+STAR, PAIRS = 64, 1000
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -85,10 +85,13 @@ def signatures(keyed: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose texts are similar enough. texts: a, text."""
+    """Of pairs (a, b), those whose texts are similar enough. texts: a, text. A set in many pairs has its text once for each PAIRS of them, so that no task gets all."""
     pairs = cut_lineage(pairs)
-    of_b = pairs.join(texts.toDF("b", "text_b"), "b")
-    both = of_b.join(texts.toDF("a", "text_a"), "a")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    parts = counts.select("a", F.ceil(F.col("n") / PAIRS).alias("parts"))
+    dealt = join_hot(pairs, parts, "a", hot_keys(counts)).select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    of_a = texts.toDF("a", "text_a").join(parts, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(texts.toDF("b", "text_b"), "b").join(of_a, ["a", "part"])
 
     def make():
         def apply(rows):
