@@ -1,5 +1,7 @@
 """Small helpers that several operators share."""
 
+import ctypes
+import gc
 import os
 import tempfile
 
@@ -73,6 +75,15 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """At the end of a task: what Python, Arrow and the C library hold but don't use goes back to the system, as workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
     """The rows of df that stay, with all their columns. make() is called once a task and returns a function from an Arrow array of the column to a mask."""
     at = df.columns.index(column)
@@ -83,7 +94,7 @@ def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -142,7 +153,7 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
                 out = apply(part.to_pydict())
                 wanted = wanted or _arrow(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
