@@ -94,28 +94,19 @@ def filter_rows(df: DataFrame, column: str, make) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+        keep = batch = part = None
         give_back()
 
     return df.mapInArrow(run, df.schema)
 
 
-def may_be_in(keys: DataFrame, key: str, bits: int = 23):
-    """A condition on the column key: false only where no row of keys has that key. It holds a bit map of fixed size, and saves dealing out
-    rows that a join wouldn't find; what passes still has to be joined."""
-    from pyspark.sql.functions import pandas_udf
-
+def may_be_in(rows: DataFrame, key: str, keys: DataFrame, name: str, bits: int = 23) -> DataFrame:
+    """rows with a boolean column name: false only where no row of keys (one column) has that key. A bit map of fixed size is broadcast, 64 bits a row, and saves
+    dealing out rows that a join wouldn't find; what passes still has to be joined. It takes no Python workers beside those of the stage that it stands in."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    words = keys.select(place(key).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("ones"))
-    table = np.zeros(1 << bits - 6, np.int64)
-    for r in words.collect():  # 2 ** 17 rows at most
-        table[r["word"]] = r["ones"]
-    held = keys.sparkSession.sparkContext.broadcast(table)
-
-    def found(p):
-        at = p.to_numpy()
-        return type(p)((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
-
-    return pandas_udf(found, "boolean", 200)(place(key))
+    words = keys.select(place(keys.columns[0]).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("ones"))
+    met = rows.withColumn("p", place(key)).join(F.broadcast(words), F.shiftright("p", 6) == F.col("word"), "left")  # 2 ** 17 words at most
+    return met.select(*rows.columns, F.coalesce(F.expr("shiftright(ones, cast(p % 64 as int)) & 1 = 1"), F.lit(False)).alias(name))
 
 
 HOT = 1000
@@ -153,6 +144,7 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
                 out = apply(part.to_pydict())
                 wanted = wanted or _arrow(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+        apply = batch = part = out = None
         give_back()
 
     return df.mapInArrow(run, schema)

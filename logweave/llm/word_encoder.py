@@ -23,7 +23,7 @@ _LATIN = 0x250
 class WordEncoder:
     """capacity bounds the memo (two generations of half of it); batch_chars bounds what is split at once, beyond a single text."""
 
-    def __init__(self, name: str = "word_bpe_49k.json", capacity: int = 600_000, batch_chars: int = 4_000_000):
+    def __init__(self, name: str = "word_bpe_49k.json", capacity: int = 600_000, batch_chars: int = 2_000_000):
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -69,47 +69,46 @@ class WordEncoder:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of all chunks (distinct), in their order. The memo gets the new ones afterwards, as far as it holds them."""
-        found, plain, rest = dict(zip(chunks, map(self.memo.get, chunks))), [], []
+        found = dict(zip(chunks, map(self.memo.get, chunks)))
         new = [c for c, known in found.items() if known is None]
-        for c in new:
-            if (known := self.old.get(c)) is not None:
-                found[c] = known
-                continue
-            tail = c[-1:] if c[-1:] in (",", ".") else ""
-            word = self._single(c[:-1] if tail else c)
-            if word is None:
-                rest.append(c)
-            else:
-                plain.append((c, word, tail))
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.words.encode(" ".join([w for _, w, _ in part]), add_special_tokens=False).ids, "<u4")
+        for i in range(0, len(new), 2000):
+            plain, rest = [], []
+            for c in new[i : i + 2000]:
+                if (known := self.old.get(c)) is not None:
+                    found[c] = known
+                    continue
+                tail = c[-1:] if c[-1:] in (",", ".") else ""
+                word = self._single(c[:-1] if tail else c)
+                if word is None:
+                    rest.append(c)
+                else:
+                    plain.append((c, word, tail))
+            ids = np.array(self.words.encode(" ".join([w for _, w, _ in plain]), add_special_tokens=False).ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) != len(part):
+            if len(ends) != len(plain):
                 raise AssertionError("each word has one last token")
             raw = ids.tobytes()
-            found.update({c: raw[a:b] + self.tails[tail] for (c, _, tail), a, b in zip(part, [0, *ends], ends)})
-        for i in range(0, len(rest), 1000):
-            found.update(zip(rest[i : i + 1000], self._by_library(rest[i : i + 1000])))
+            found.update({c: raw[a:b] + self.tails[tail] for (c, _, tail), a, b in zip(plain, [0, *ends], ends)})
+            found.update(zip(rest, self._by_library(rest)))
         if len(self.memo) + len(new) > self.half:
             self.memo, self.old = {}, self.memo
         self.memo.update({c: found[c] for c in new[: self.half]})
         return found
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, texts: list[str]):
         split = pc.ascii_split_whitespace(pa.array([self._lowered(t) for t in texts], pa.large_string()))
         numbered = split.flatten().dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        known = list(self._learn(distinct).values())
+        known = list(self._learn(numbered.dictionary.to_pylist()).values())
         flat = np.frombuffer(b"".join(known), "<u4")
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts = np.cumsum(sizes) - sizes
-        at = numbered.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)] if len(flat) else flat
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        at, bounds = numbered.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+        del known, numbered, split
+        for a, b in zip(bounds, bounds[1:]):  # text after text, as ids and their places take several times the room of a text
+            own = at[a:b]
+            lengths = sizes[own]
+            ends = np.cumsum(lengths)
+            yield flat[np.repeat(starts[own] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def ids(self, texts: list[str | None]):
         """One array of ids for each text, in order; a null text has none."""

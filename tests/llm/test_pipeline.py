@@ -89,3 +89,50 @@ def test_stages_pass_clashing_columns_and_empty_tables(spark):
         assert found.count() > 0 and stage(spark, docs.limit(0), SMALL).count() == 0
         assert len({(r["doc_id"], r["text"]) for r in found.collect()}) == (found.count() if stage is corpus_pipeline.near_duplicates else found.select("doc_id", "text").distinct().count())
     assert corpus_pipeline.best_fit_packing(spark, rows, SMALL).filter("piece = 0").count() == rows.count()
+
+
+class Frame:
+    """Takes a task's function as map_batches makes it."""
+
+    columns = ["doc_id", "text"]
+
+    def __init__(self, session):
+        self.sparkSession, self.schema = session, None
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_tasks_let_go_of_their_function_before_they_give_memory_back(spark, monkeypatch):
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+    from logweave.llm import common
+
+    class Keeps:
+        def __call__(self, rows):
+            return np.ones(len(rows), bool) if isinstance(rows, pa.Array) else rows
+
+    made, held = [], []
+
+    def make():
+        made.append(weakref.ref(f := Keeps()))
+        return f
+
+    monkeypatch.setattr(common, "give_back", lambda: held.append(made[-1]() is not None))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", "b"]})
+    for run in (common.map_batches(Frame(spark), make, "doc_id long, text string"), common.filter_rows(Frame(spark), "text", make)):
+        assert sum(b.num_rows for b in run([batch])) == 2
+    assert held == [False, False]
+
+
+def test_marking_held_keys_takes_no_python_worker(spark):
+    from logweave.llm.common import may_be_in
+
+    rows = spark.createDataFrame([(i, i * 7919 - 4000) for i in range(5000)], "i long, h1 long")
+    marked = may_be_in(rows, "h1", rows.filter("i % 3 = 0").select(F.col("h1").alias("x1")), "held")
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and marked.columns == ["i", "h1", "held"]
+    found = {r["i"]: r["held"] for r in marked.collect()}
+    assert len(found) == 5000 and all(found[i] for i in range(0, 5000, 3)) and sum(found.values()) < 1700
