@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chain import epoch_regressions
-from .folding import fold
+from .folding import fold, tasks_for
 
 
 def refund_audit(payments: DataFrame, refunds: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def over_cap(payments: DataFrame, refunds: DataFrame, order: list[str]) -> DataF
         over = so_far > row["cap"]
         return (refunded if over else so_far), (so_far, over)
 
-    return fold(refunds.join(caps, "payment"), "payment", order, 0, step, "so_far bigint, over boolean")
+    # Join and fold share one dealing out, so neither sorts more than a task's rows.
+    tasks = tasks_for(refunds, caps)
+    capped = refunds.repartition(tasks, "payment").join(caps.repartition(tasks, "payment"), "payment")
+    return fold(capped, "payment", order, 0, step, "so_far bigint, over boolean", tasks)
 
 
 def fleet_summary(runs: DataFrame, killed: Column, amount: Column, clean: Column) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import event_hash
 from ..functions.scalars import GENESIS
+from .folding import in_order
 
 
 def seal(events: DataFrame) -> DataFrame:
     """events (branch_id, seq, epoch, at_ms, body: canonical) with prev_hash and hash. Each hash depends on the one before it,
     so a branch is folded in order; branches are independent, and rows stream through a task sorted by (branch, seq)."""
     columns = ["branch_id", "seq", "epoch", "at_ms", "body"]
-    dealt = events.select(*columns).repartition("branch_id").sortWithinPartitions("branch_id", "seq")
+    dealt = in_order(events.select(*columns), "branch_id", ["seq"])
     fields = {f.name: f.dataType.simpleString() for f in dealt.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in columns) + ", prev_hash string, hash string"
 

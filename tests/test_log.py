@@ -204,3 +204,20 @@ def test_effects_and_tasks(spark):
     assert [r["attempt"] for r in tasks.attempts(claims, 2).orderBy("seq").collect()] == [1, 2, 3, 1, 2]
     events = spark.createDataFrame([(1, i, ep, 10 * i, "x") for i, ep in enumerate([0, 1, 0, 1, 2])], "branch_id long, seq long, epoch long, at_ms long, type string")
     assert [(r["first_seq"], r["last_seq"]) for r in views.segments(events, F.lit(True)).orderBy("segment").collect()] == [(1, 3), (4, 4)]
+
+
+def test_folds_deal_more_rows_to_more_tasks_and_not_to_larger_ones(spark, monkeypatch):
+    from logweave.operators import folding
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(folding, "TASK_ROWS", 500)
+    payments = spark.range(2000).select(F.col("id").alias("payment"), F.lit(100).cast("long").alias("cents"))
+    refunds = spark.range(8000).select((F.col("id") % 2000).alias("payment"), F.expr("id div 2000").alias("line"), F.lit(40).cast("long").alias("cents"))
+    found = audit.over_cap(payments, refunds, ["line"])
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]  # of 20 tasks; the session's setting is 4
+    assert sum(sizes) == 8000 and max(sizes) < 1000
+    assert {(r["line"], r["so_far"], r["over"]) for r in found.collect()} == {(0, 40, False), (1, 80, False), (2, 120, True), (3, 120, True)}
+    log = refunds.select(F.col("payment").alias("branch_id"), F.col("line").alias("seq"), (F.col("line") == 0).alias("claims"), F.lit(1).cast("long").alias("epoch"), (F.col("line") - 1).alias("first_seq"))
+    verdicts = tasks.append_verdicts(log)
+    assert max(r["count"] for r in verdicts.groupBy(F.spark_partition_id()).count().collect()) < 1000
+    assert verdicts.filter("verdict = 'accepted'").count() == 6000
