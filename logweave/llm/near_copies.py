@@ -7,11 +7,14 @@ exact prefix filter finds all other pairs, so that none is lost:
 1. Tasks hash each text's shingles. Equal sets become one row, with a fingerprint, and a prefix: its first n - ceil(similarity * n) + 1
    shingles in one order for all texts. Similar sets share a shingle of their prefixes. Shingles that a sample shows to be common
    come last; this saves work and changes no result.
+   A place in it counts where what lies behind it is enough for the overlap with the shortest set that holds the shingle too.
 2. Links of the BK-trees, and links from each member of a group of more than STAR sets that share a prefix shingle to the group's
-   smallest, are compared. So a large group of copies gives pairs in proportion to its rows, and its members meet no more.
-3. Sets that share prefix shingles, and that step 2 didn't bring together, become pairs with the number of prefix shingles that they share. A
-   pair is left out if its lengths are too different, or if that number and what lies behind the last shared one can't add up to
-   the overlap that the similarity asks for.
+   centre, are compared. The centre is the set with the fewest shingles before the shared one: copies of a text that were each changed
+   elsewhere have own, rare shingles there, and are nearer to the least changed one than to each other. So a large group of copies gives
+   pairs in proportion to its rows.
+3. Of a group, only sets that step 2 didn't bring to the centre meet the others. Sets of different components that share prefix
+   shingles become pairs with the number of those that they share. A pair is left out if its lengths are too different, if what lies
+   behind its first shared shingle, or the number and what lies behind the last one, can't add up to the overlap that the similarity asks for.
 4. Every pair is compared exactly, on its whole texts, before it becomes a link; groups are the components of the links.
 
 Of each group the text stays whose (doc_id, hashes of the text) is smallest, null ids last. Rows that agree in doc_id and text are one document:
@@ -136,14 +139,16 @@ def _once_a_batch(rows: DataFrame) -> DataFrame:
 def groups_of(sets: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
     """set and group of the sets that have near copies. sets: set, n, fp, prefix, top."""
     by_shingle = Window.partitionBy("shingle")
-    dealt = sets.select("set", "n", F.posexplode("prefix").alias("i", "shingle")).select("shingle", "set", F.shiftleft("n", 32).bitwiseOR(F.col("i")).alias("at"))
-    first = F.min(F.struct("set", "at")).over(by_shingle)
-    meeting = dealt.withColumns({"times": F.count("*").over(by_shingle), "first": first}).filter("times > 1")
-    n, i = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
-    meeting = cut_lineage(meeting.select("shingle", F.col("set").alias("a"), n.alias("n"), i.alias("i"), "times", "first"))
+    need = lambda n, m: similarity / (1 + similarity) * (n + m) - 1e-9  # noqa: E731  shingles that sets of n and m have to share
+    dealt = sets.select("n", "set", F.posexplode("prefix").alias("i", "shingle")).select("shingle", "set", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("n")).alias("at"))
+    i, n = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    shortest = F.greatest(F.min(n).over(by_shingle), similarity * n)
+    dealt = dealt.withColumn("open", n - i >= need(n, shortest)).filter("open").drop("open")
+    meeting = dealt.withColumns({"times": F.count("*").over(by_shingle), "first": F.min(F.struct("at", "set")).over(by_shingle)}).filter("times > 1")
+    meeting = cut_lineage(meeting.select("shingle", F.col("set").alias("a"), n.alias("n"), i.alias("i"), "times", F.col("first.set").alias("first"), F.col("first.at").bitwiseAND(F.lit((1 << 32) - 1)).alias("first_n")))
     long_enough = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
 
-    stars = meeting.filter(F.col("times") > STAR).select(F.col("first.set").alias("a"), F.shiftright("first.at", 32).alias("n"), F.col("a").alias("b"), F.col("n").alias("m")).filter("a <> b")
+    stars = meeting.filter(F.col("times") > STAR).select(F.col("first").alias("a"), F.col("first_n").alias("n"), F.col("a").alias("b"), F.col("n").alias("m")).filter("a <> b")
     by_print = cut_lineage(sets.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("one")))
     of = lambda x, y, z: by_print.select(F.col("fp").alias(x), F.col("one.set").alias(y), F.col("one.n").alias(z))
     alike = links(by_print.select("fp"), 2).toDF("x", "y").join(of("x", "a", "n"), "x").join(of("y", "b", "m"), "y").select("a", "n", "b", "m")
@@ -152,12 +157,17 @@ def groups_of(sets: DataFrame, keyed: DataFrame, size: int, similarity: float) -
     texts = _texts_of(sets, near.select("a").union(near.select("b")), keyed)
     found = verified(near, texts, size, similarity)
 
-    named = meeting.join(components(found).toDF("a", "comp"), "a", "left").select("shingle", "a", "n", "i", F.coalesce("comp", "a").alias("comp"))
-    apart = cut_lineage(named.withColumns({"low": F.min("comp").over(by_shingle), "high": F.max("comp").over(by_shingle)}).filter("low <> high").drop("low", "high"))
-    met = apart.join(apart.toDF("shingle", "b", "m", "j", "other"), "shingle").filter("a < b and comp <> other").filter(long_enough)
+    named = meeting.join(components(found).toDF("a", "comp"), "a", "left").select("shingle", "a", "n", "i", (F.col("a") == F.col("first")).alias("is_first"), F.coalesce("comp", "a").alias("comp"))
+    around = F.max(F.when(F.col("is_first"), F.col("comp"))).over(by_shingle)
+    apart = named.withColumns({"low": F.min("comp").over(by_shingle), "high": F.max("comp").over(by_shingle), "outside": F.col("comp") != around})
+    apart = cut_lineage(apart.filter("low <> high").drop("low", "high", "is_first"))
+    met = apart.filter("outside").drop("outside").join(apart.toDF("shingle", "b", "m", "j", "other", "beside"), "shingle").filter("comp <> other and (a < b or not beside)").filter(long_enough)
+    met = met.filter(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need(F.col("n"), F.col("m")))
+    x, y = F.struct("a", "n", "i"), F.struct(F.col("b").alias("a"), F.col("m").alias("n"), F.col("j").alias("i"))
+    met = met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select(F.col("x.a").alias("a"), F.col("x.n").alias("n"), F.col("x.i").alias("i"), F.col("y.a").alias("b"), F.col("y.n").alias("m"), F.col("y.i").alias("j"))
     shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    rest = cut_lineage(shared.filter(most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b"))
+    rest = cut_lineage(shared.filter(most >= need(F.col("n"), F.col("m"))).select("a", "b"))
     texts = _texts_of(sets, rest.select("a").union(rest.select("b")), keyed)
     return components(found.union(verified(rest, texts, size, similarity))).toDF("set", "group")
 

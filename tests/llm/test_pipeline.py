@@ -57,6 +57,25 @@ def test_near_copies_equal_all_pairs_of_shingle_sets(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(top))
 
 
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    from logweave.llm import near_copies
+
+    r, compare, asked = random.Random(5), near_copies.verified, []
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: (asked.append(pairs.count()), compare(pairs, *a))[1])
+    texts = [" ".join(f"w{i}" for i in range(146))]
+    for k in range(220):  # copies of it, each with one to five words of its own at places of its own
+        words = [f"w{i}" for i in range(146)]
+        for at in r.sample(range(146), 1 + k % 5):
+            words[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{r.randrange(10**6)}" for _ in range(50)) for _ in range(30)]
+    top = brute_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(top)) and 60 < len(kept) < 160
+    assert 100 < sum(asked) < 2 * len(texts)
+
+
 def test_stages_decide_by_row_not_by_id(spark):
     docs = table(spark, SMALL, "documents").select("doc_id", "text")
     good = [r["text"] for r in docs.join(table(spark, SMALL, "labels").filter("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").limit(3).collect()]
