@@ -34,7 +34,6 @@ from .common import map_batches
 SPACE = "▁"
 BYTE_LOSS = 10.0  # below the least piece score
 MEMO_CHARS = 64
-MISSING = object()
 DIGEST = "doc_id long, n_pieces long, best_score double, n_best int, nth_score double, ids_crc32 long, decoded boolean"
 ROWS = "doc_id long, rank int, score double, ids array<long>"
 
@@ -66,11 +65,22 @@ class Lattice:
             raise ValueError(f"pieces cross the cuts of the lattice: {crossing[:5]}")
         self.text_of |= {i: bytes([b]) for b, i in self.bytes.items()}
         self.longest = max(map(len, self.pieces))
-        #: every start of a piece; those that are pieces have their score
-        self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | {p: s for p, (_, s) in self.pieces.items()}
+        #: by character: (what may follow, score and id if a piece ends here, else None)
+        self.starts = self._tree()
         self.byte_score = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - BYTE_LOSS
         self.capacity, self.memo, self.last = capacity, {}, []
 
+    def _tree(self) -> dict[str, tuple]:
+        """Pieces by their characters, one level a character. Longer pieces come first, so that a level is there when the piece that ends at it comes."""
+        tree: dict[str, tuple] = {}
+        for piece in sorted(self.pieces, key=len, reverse=True):
+            level = tree
+            for c in piece[:-1]:
+                level = level.setdefault(c, ({}, None, None))[0]
+            i, score = self.pieces[piece]
+            level[piece[-1]] = (level.get(piece[-1], ({},))[0], score, i)
+        return tree
+
     def raw(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes[x] for x in c.encode("utf-8", "surrogatepass"))
 
@@ -88,68 +98,77 @@ class Lattice:
 
     def forward(self, text: str) -> tuple[array, array]:
         """Viterbi: the best score of reaching each place, and where the edge starts by which."""
-        size, get = len(text), self.starts.get
+        size, tree, longest = len(text), self.starts, self.longest
         best, by = array("d", [-np.inf]) * (size + 1), array("l", [0]) * (size + 1)
         best[0] = 0.0
         for a in range(size):
-            here, covered = best[a], False
-            for b in range(a + 1, size + 1):
-                score = get(text[a:b], MISSING)
-                if score is MISSING:  # no piece starts so
+            here, level, b = best[a], tree, a
+            for c in text[a : a + longest]:
+                found = level.get(c)
+                if found is None:  # no piece starts so
                     break
-                if score is not None:
-                    covered = covered or b == a + 1
-                    if here + score >= best[b]:  # of equal ones the last, which is the shortest
-                        best[b], by[b] = here + score, a
-            if not covered:
+                b += 1
+                level, score, _ = found
+                if score is not None and here + score >= best[b]:  # of equal ones the last, which is the shortest
+                    best[b], by[b] = here + score, a
+            if text[a] not in self.pieces:
                 score = here + self.byte_score * len(self.raw(text[a]))
                 if score >= best[a + 1]:
                     best[a + 1], by[a + 1] = score, a
         return best, by
 
-    def known(self, segment: str) -> tuple[float, bytes, float]:
-        """Best score, its ids as bytes, and the least loss of an edge that leaves the best way."""
+    def known(self, segment: str) -> tuple[float, bytes, float, bytes]:
+        """Best score, its ids as bytes, the least loss of an edge that leaves the best way, and the text that the ids decode to."""
         found = self.memo.get(segment)
         if found is None:
             if len(segment) > MEMO_CHARS:
                 best, by = self.forward(segment)
                 loss = min((x for x, _, _ in self.departures(segment, best, by, len(segment))), default=np.inf)
-                return best[-1], self._ids(segment, by, {}), loss
+                ids = self._ids(segment, by, {})
+                return best[-1], ids, loss, b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
             if len(self.memo) >= self.capacity:
                 self.memo.clear()
             found = self.memo[segment] = self._of_short(segment)
         return found
 
-    def _of_short(self, segment: str) -> tuple[float, bytes, float]:
-        """As known says, with the edges of the whole segment at hand."""
-        size, get = len(segment), self.starts.get
-        best, by = [0.0] + [-np.inf] * size, [0] * (size + 1)
-        into: list[list] = [[] for _ in range(size + 1)]
+    def _of_short(self, segment: str) -> tuple[float, bytes, float, bytes]:
+        """As known says, with the best and the second best score of each place at hand."""
+        size, tree = len(segment), self.starts
+        best, second = [0.0] + [-np.inf] * size, [-np.inf] * (size + 1)
+        by, piece = [0] * (size + 1), [None] * (size + 1)  # no piece: bytes
         for a in range(size):
-            here, covered = best[a], False
-            for b in range(a + 1, size + 1):
-                score = get(segment[a:b], MISSING)
-                if score is MISSING:  # no piece starts so
+            here, level, b = best[a], tree, a
+            for c in segment[a:]:
+                found = level.get(c)
+                if found is None:  # no piece starts so
                     break
+                b += 1
+                level, score, i = found
                 if score is not None:
-                    covered = covered or b == a + 1
-                    into[b].append((a, here + score))
-                    if here + score >= best[b]:
-                        best[b], by[b] = here + score, a
-            if not covered:
-                score = here + self.byte_score * len(self.raw(segment[a]))
-                into[a + 1].append((a, score))
-                if score >= best[a + 1]:
-                    best[a + 1], by[a + 1] = score, a
+                    score += here
+                    if score >= best[b]:
+                        second[b] = best[b]
+                        best[b], by[b], piece[b] = score, a, i
+                    elif score > second[b]:
+                        second[b] = score
+            if segment[a] not in self.pieces:
+                b, score = a + 1, here + self.byte_score * len(self.raw(segment[a]))
+                if score >= best[b]:
+                    second[b] = best[b]
+                    best[b], by[b], piece[b] = score, a, None
+                elif score > second[b]:
+                    second[b] = score
         place, ids, loss = size, [], np.inf
         while place:
-            way, top = by[place], best[place]
-            for a, score in into[place]:
-                if a != way and top - score < loss:
-                    loss = top - score
-            ids.append(self.ids_between(segment, way, place))
-            place = way
-        return best[-1], array("I", [i for own in reversed(ids) for i in own]).tobytes(), loss
+            if best[place] - second[place] < loss:
+                loss = best[place] - second[place]
+            if piece[place] is None:
+                ids.extend(reversed(self.raw(segment[by[place]])))
+            else:
+                ids.append(piece[place])
+            place = by[place]
+        ids.reverse()
+        return best[-1], array("I", ids).tobytes(), loss, b"".join(map(self.text_of.__getitem__, ids))
 
     def _ids(self, segment: str, by, departed: dict[int, int]) -> bytes:
         """The ids of the way that takes the departed edges (start by place), and else the best ones."""
@@ -172,9 +191,12 @@ class Lattice:
     def nbest(self, text: str, n: int) -> list[tuple[float, list[tuple[int, bytes]]]]:
         """The n best of a whole text: score, and the (segment number, ids) that differ from the best. First comes the best, without any."""
         texts = self.pattern.findall(" " + text) if text else []
-        segments = self.last = [self.known(s) for s in texts]
-        total = float(sum(s[0] for s in segments))
-        open_segments = sorted(heapq.nsmallest(n - 1, range(len(segments)), key=lambda k: (segments[k][2], -k)), reverse=True)
+        get = self.memo.get
+        segments = self.last = [get(s) or self.known(s) for s in texts]
+        total = float(sum([s[0] for s in segments]))
+        losses = np.array([s[2] for s in segments])
+        near = np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2]) if 1 < n <= len(losses) else np.arange(len(losses))
+        open_segments = sorted(sorted(near.tolist(), key=lambda k: (losses[k], -k))[: n - 1], reverse=True)
         lattices = {k: self.forward(texts[k]) for k in open_segments if segments[k][2] < np.inf}
         waiting: list[tuple] = [(0.0, 0, None, -1, 0, 0)]  # loss, number, the hypothesis that it leaves, segment, place, start
         out, made = [], 1
@@ -206,6 +228,10 @@ class Lattice:
         """Of the text that nbest saw last."""
         return b"".join([s[1] for s in self.last])
 
+    def best_text(self) -> str:
+        """What best_ids decodes to; the bytes of characters may lie in several segments."""
+        return b"".join([s[3] for s in self.last]).decode("utf-8", "replace")[1:]
+
     def ids_of(self, changes: list[tuple[int, bytes]]) -> list[int]:
         own = [s[1] for s in self.last]
         for k, ids in changes:
@@ -256,7 +282,7 @@ def digest(docs: DataFrame, n: int = 4, model: str = "piece_bpe_32k.model") -> D
             for doc_id, text in zip(rows["doc_id"], rows["text"]):
                 found = lattice.nbest(text or "", n)
                 ids = lattice.best_ids()
-                same = lattice.decode(np.frombuffer(ids, "<u4").tolist()) == (text or "")
+                same = lattice.best_text() == (text or "")
                 for column, value in zip(out.values(), (doc_id, len(ids) // 4, found[0][0], len(found), found[-1][0], zlib.crc32(ids), same)):
                     column.append(value)
             return out

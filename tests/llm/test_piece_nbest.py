@@ -62,6 +62,30 @@ def test_decoding_equals_the_library(model, lattice):
             assert lattice.decode(ids) == text == model.decode(ids)
 
 
+class Counted(str):
+    """Counts the parts that are cut out of it."""
+
+    cuts = 0
+
+    def __getitem__(self, at):
+        Counted.cuts += isinstance(at, slice)
+        return str.__getitem__(self, at)
+
+
+def test_a_segment_is_read_by_its_characters_and_decoded_once(lattice):
+    words = [" international", " straightforwardness", " 12345", "naïvely", " x☃", " "]
+    Counted.cuts = 0
+    for word in words:
+        score, ids, loss, raw = lattice._of_short(Counted(word))
+        best, by = lattice.forward(word)
+        losses = [x for x, _, _ in lattice.departures(word, best, by, len(word))]
+        assert (score, ids, loss, raw.decode()) == (best[-1], lattice._ids(word, by, {}), min(losses, default=float("inf")), word)
+    assert Counted.cuts <= 2 * sum(map(len, words))
+    for text in ("".join(words), "日本語 ☃ 😀☃", ""):
+        lattice.nbest(text, 3)
+        assert lattice.best_text() == text
+
+
 @pytest.mark.parametrize("text", ["a" * 1_000_000, "".join(random.Random(1).choice("etaoinshrdlu") for _ in range(1_000_000)), "☃" * 200_000, " " * 300_000, "ab, " * 200_000], ids=["equal", "letters", "bytes", "spaces", "words"])
 def test_a_million_letters_in_bounded_memory(lattice, text):
     before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
