@@ -36,6 +36,14 @@ def held_out(key: str, modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """createDataFrame from an Arrow table. From a list, Spark sends the rows through Python workers of executors, which are others than those of mapInArrow
+    (another environment) and stay in memory beside them."""
+    wanted = _arrow(schema)
+    columns = list(zip(*rows)) or [()] * len(wanted)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, wanted)], schema=wanted))
+
+
 def smallest_by_hash(rows: DataFrame, keys: list[str], n: int, total: int) -> list:
     """The n distinct rows whose keys have the smallest hash, collected: a sample of bounded size. total: about how many rows there are.
 

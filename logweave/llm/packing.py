@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches
+from .common import cut_lineage, local_rows, map_batches
 from .word_encoder import WordEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, max_tokens: int = 4096, tokenizer: str = "word_bpe_49k
     made = made.withColumn("salt", F.pmod("spread", F.lit(-(-made.count() // SALT_ROWS) or 1)))
     by_salt = made.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
-    plan = spark.createDataFrame(best_fit_plan(counts, max_tokens), PLAN)
+    plan = local_rows(spark, best_fit_plan(counts, max_tokens), PLAN)
     smaller = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # a row for each salt
     before = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("smaller"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

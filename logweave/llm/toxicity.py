@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_batches, smallest_by_hash
+from .common import filter_rows, give_back, local_rows, map_batches, smallest_by_hash
 
 CLASSES = 64  # of characters: none, a to z, and the others by remainder
 LONGEST = 48  # characters that the character network reads at once
@@ -148,6 +148,19 @@ def split_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndar
     return distinct, at.astype(np.int64), bounds
 
 
+def in_parts(texts: list[str | None], batch_chars: int):
+    """Texts in order, in lists that end where they reach batch_chars characters, so that what is made of one doesn't grow with the number of texts."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= batch_chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def char_classes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all characters of the words, and the words' lengths."""
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -227,27 +240,27 @@ class Model:
         out[np.diff(bounds) == 0] = -np.inf
         return out
 
-    def scores(self, texts: list[str | None], batch_chars: int = 6_000_000) -> list[float]:
-        out, part, size = [], [], 0
-        for i, t in enumerate(texts):
-            part.append(t)
-            size += len(t or "")
-            if size >= batch_chars or i == len(texts) - 1:
-                logits = self.logits(part).astype(float)
-                known = np.isfinite(logits)
-                out += np.where(known, 1 / (1 + np.exp(-np.clip(self.slope * np.where(known, logits, 0) + self.level, -50, 50))), 0.0).tolist()
-                part, size = [], 0
+    def scores(self, texts: list[str | None], batch_chars: int = 1_000_000) -> list[float]:
+        out = []
+        for part in in_parts(texts, batch_chars):
+            logits = self.logits(part).astype(float)
+            known = np.isfinite(logits)
+            out += np.where(known, 1 / (1 + np.exp(-np.clip(self.slope * np.where(known, logits, 0) + self.level, -50, 50))), 0.0).tolist()
         return out
 
     # Training
 
-    def fit(self, texts: list[str], toxic: np.ndarray, char_steps: int, word_epochs: int) -> None:
-        words, at, bounds = split_words(texts)
-        docs = [at[a:b] for a, b in zip(bounds, bounds[1:])]
+    def fit(self, texts: list[str], toxic: np.ndarray, char_steps: int, word_epochs: int, batch_chars: int = 1_000_000) -> None:
+        numbers, docs = {}, []
+        for part in in_parts(texts, batch_chars):
+            distinct, at, bounds = split_words(part)
+            at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in distinct), np.int64, len(distinct))[at]
+            docs += [at[a:b] for a, b in zip(bounds, bounds[1:])]
+        words = list(numbers)
         self._fit_chars(words, docs, toxic, char_steps)
         vectors, buckets = self.word_vectors(words), word_buckets(words)
         self._fit_words(vectors, buckets, docs, toxic, word_epochs)
-        self._calibrate(self.logits(texts).astype(float), toxic)
+        self._calibrate(np.concatenate([self.logits(part) for part in in_parts(texts, batch_chars)]).astype(float), toxic)
 
     def _fit_chars(self, words, docs, toxic, steps, batch=256):
         n = np.zeros((2, len(words)))
@@ -343,18 +356,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_toxic: int, fit_clea
     marked = labels.filter("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).filter("doc_id is not null")
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ids = [(r["doc_id"], r["toxic"]) for kind, most in ((True, fit_toxic), (False, fit_clean)) for r in smallest_by_hash(marked.filter(F.col("toxic") == kind), ["doc_id"], most, n.get(kind, 0))]
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic boolean")  # fit_toxic + fit_clean rows at most
+    chosen = local_rows(docs.sparkSession, ids, "doc_id long, toxic boolean")  # fit_toxic + fit_clean rows at most
     known = docs.filter(F.length("text") <= fit_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return known.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("first.text", "toxic").orderBy(F.desc("toxic"), F.xxhash64("doc_id")).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_toxic: int, fit_clean: int, fit_chars: int, hidden: int, window: int, char_steps: int, word_epochs: int, seed: int) -> Model | None:
+    """A model, or None without labelled rows of both kinds. What the sample and the training took of the driver's memory goes back to the system."""
     sample = labelled_sample(docs, labels, fit_toxic, fit_clean, fit_chars)
     texts, toxic = [r["text"] for r in sample], np.array([float(r["toxic"]) for r in sample])
-    if not 0 < toxic.sum() < len(toxic):
-        return None
-    model = Model(hidden, window, seed)
-    model.fit(texts, toxic, char_steps, word_epochs)
+    model = Model(hidden, window, seed) if 0 < toxic.sum() < len(toxic) else None
+    if model:
+        model.fit(texts, toxic, char_steps, word_epochs)
+    sample = texts = None
+    give_back()
     return model
 
 

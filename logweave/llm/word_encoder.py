@@ -23,7 +23,7 @@ _LATIN = 0x250
 class WordEncoder:
     """capacity bounds the memo (two generations of half of it); batch_chars bounds what is split at once, beyond a single text."""
 
-    def __init__(self, name: str = "word_bpe_49k.json", capacity: int = 600_000, batch_chars: int = 2_000_000):
+    def __init__(self, name: str = "word_bpe_49k.json", capacity: int = 300_000, batch_chars: int = 1_000_000):
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
 

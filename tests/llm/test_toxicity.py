@@ -74,3 +74,32 @@ def test_the_sample_is_bounded_and_takes_one_text_of_an_id(spark):
     assert len(whole) == 150 and sum(r["toxic"] for r in whole) == 76  # 0 is toxic by its second label
     assert toxicity.labelled_sample(docs.limit(0), labels, 5, 5, 20) == []
     assert [r["score"] for r in toxicity.score_toxicity(docs.limit(3), docs, labels.withColumn("toxic", F.lit(0))).collect()] == [0.0] * 3
+
+
+def test_training_and_scoring_split_bounded_parts(monkeypatch):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(400)]
+    texts = [" ".join(words[(7 * i + j) % 400] for j in range(900)) + (" vile" if i % 3 == 0 else "") for i in range(700)] + [None, ""]
+    toxic = np.array([float(i % 3 == 0) for i in range(len(texts))])
+    split, sizes, whole = toxicity.split_words, [], []
+    monkeypatch.setattr(toxicity, "split_words", lambda part: sizes.append(sum(len(t or "") for t in part)) or split(part))
+    monkeypatch.setattr(toxicity.Model, "_fit_chars", lambda self, words, docs, toxic, steps: whole.extend((words, docs)))
+    model = toxicity.Model(4, 32, 5)
+    model.fit(texts, toxic, 1, 1)
+    model.scores(texts)
+    longest, total = max(len(t or "") for t in texts), sum(len(t or "") for t in texts)
+    assert total > 2_000_000 and max(sizes) < 1_000_000 + longest
+    distinct, at, bounds = split(texts)
+    assert whole[0] == distinct and len(whole[1]) == len(texts)
+    assert all(np.array_equal(own, at[a:b]) for own, a, b in zip(whole[1], bounds, bounds[1:]))
+
+
+def test_local_rows_take_no_python_worker(spark):
+    from logweave.llm.common import local_rows
+
+    rows = [(1, True), (2, None), (None, False)]
+    found = local_rows(spark, rows, "doc_id long, toxic boolean")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str) and dict(found.dtypes) == {"doc_id": "bigint", "toxic": "boolean"}
+    none = local_rows(spark, [], "doc_id long, toxic boolean")
+    assert none.dtypes == found.dtypes and none.count() == 0
