@@ -7,6 +7,7 @@ those that the memo doesn't hold.
 """
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +21,29 @@ _AS_CHAR = {b: b if b in _PLAIN else 256 + b - sum(x < b for x in _PLAIN) for b
 _LATIN = 0x250
 
 
+@lru_cache(maxsize=None)
+def _library(name: str) -> tuple:
+    """The library's tokenizer, and one of its model alone that splits at white space: once a process. Each new one that has encoded leaves
+    several MB of the library's behind when it goes, so a worker that made them anew would grow with the number of its tasks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    full = Tokenizer.from_file(public_tokenizers.path(name))
+    words = Tokenizer(full.model)
+    words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return full, words
+
+
 class WordEncoder:
     """capacity bounds the memo (two generations of half of it); batch_chars bounds what is split at once, beyond a single text."""
 
     def __init__(self, name: str = "word_bpe_49k.json", capacity: int = 300_000, batch_chars: int = 1_000_000):
-        import public_tokenizers
-        from tokenizers import Tokenizer, pre_tokenizers
-
         if not name.endswith(".json"):
             raise ValueError(f"{name}: only tokenizers that drop white space can be encoded by chunks")
         one_thread()
-        self.full = Tokenizer.from_file(public_tokenizers.path(name))
+        self.full, self.words = _library(name)
         if self.full.encode(" \n ", add_special_tokens=False).ids:
             raise ValueError(f"{name} keeps white space")
-        self.words = Tokenizer(self.full.model)
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.full.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.full.get_vocab().items() if t.endswith("</w>")]] = True
         self.half, self.batch_chars, self.memo, self.old = capacity // 2, batch_chars, {}, {}

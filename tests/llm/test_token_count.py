@@ -71,3 +71,11 @@ def test_chunks_of_a_long_text_are_short():
 def test_a_tokenizer_that_keeps_white_space_is_refused():
     with pytest.raises(ValueError, match="white space"):
         WordEncoder("byte_bpe_50k.json")
+
+
+def test_encoders_of_one_process_share_what_the_library_holds():
+    from logweave.llm.word_encoder import WordEncoder
+
+    a, b = WordEncoder(), WordEncoder(capacity=16)
+    assert a.full is b.full and a.words is b.words
+    assert a.memo is not b.memo and [x.tolist() for x in a.ids(["some words", None])] == [x.tolist() for x in b.ids(["some words", None])]
